@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The English stop-word list of the keyword index.
 STOP_WORDS = """
@@ -23,13 +23,13 @@ IDENTIFIER_CAPITALS = r"^[A-Z]{2,}[\w\-]*$"
 MAX_IDENTIFIERS = 12
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Unicode NFC form."""
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(values: pd.Series) -> pd.Series:
     """Unicode NFKD form."""
     return values.map(lambda v: unicodedata.normalize("NFKD", v), na_action="ignore")

@@ -7,7 +7,7 @@ import base64
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 DISTANCE_DIGITS = 12  # distances are compared at this precision, so equal vectors tie exactly and the id decides
 
@@ -39,14 +39,14 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: (x.cast("double") / norm(v)).cast("float"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_vector(values: pd.Series) -> pd.Series:
     """Base64 of the little-endian float32 bytes."""
     return values.map(lambda v: base64.b64encode(np.asarray(v, dtype="<f4").tobytes()).decode("ascii"),
                       na_action="ignore")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(values: pd.Series) -> pd.Series:
     """The inverse of :func:`encode_vector`."""
     return values.map(lambda s: np.frombuffer(base64.b64decode(s), dtype="<f4"), na_action="ignore")

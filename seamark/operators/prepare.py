@@ -33,7 +33,7 @@ def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     UNREADABLE, blank text is EMPTY_CONTENT."""
     raw = F.col(content)
     valid = F.is_valid_utf8(raw.cast("string"))
-    text = F.regexp_replace(F.try_validate_utf8(raw.cast("string")), "^﻿", "")
+    text = F.regexp_replace(F.try_validate_utf8(raw.cast("string")), r"^\x{FEFF}", "")
     error = (F.when(~valid, "UNREADABLE").when(F.instr(text, "\x00") > 0, "UNREADABLE")
              .when(F.regexp_replace(text, r"(?U)\s+", "") == "", "EMPTY_CONTENT"))
     return files.withColumn("error_code", error).withColumn("text", F.when(F.col("error_code").isNull(), text))

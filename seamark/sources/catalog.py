@@ -19,6 +19,8 @@ class Catalog:
     """
 
     PARTITIONS = {"segments": ["workspace_id", "profile_id"]}
+    # tables whose rows change: a later batch overrides a row by key, so a change costs its own rows only
+    LATEST = {"files": (["workspace_id", "file_id"], "updated_at")}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -50,7 +52,13 @@ class Catalog:
         base = f"{self.root}/{table}/data"
         schema = T.StructType([*TABLES[table].fields, T.StructField("batch", T.StringType())])
         rows = self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/batch={b}" for b in batches])
-        return rows.drop("batch")
+        rows = rows.drop("batch")
+        if table in self.LATEST and len(batches) > 1:  # one batch holds each key once
+            keys, order = self.LATEST[table]
+            rest = [c for c in rows.columns if c not in keys]
+            newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r"))
+            rows = newest.select(*keys, "r.*").select(*TABLES[table].names)
+        return rows
 
     def read(self, table: str, workspace_id: str | None) -> DataFrame:
         """Rows of one workspace; without a workspace there are none (fail closed)."""
@@ -85,6 +93,10 @@ class Catalog:
         number, _ = self.state(table)
         return self.flip(table, [self.stage(table, rows)], number)
 
+    def compact(self, table: str) -> int:
+        """Rewrite the batches in force as one."""
+        return self.publish(table, self._rows(table))
+
     def append(self, table: str, rows: DataFrame) -> int:
         """Add rows to the table."""
         number, batches = self.state(table)

@@ -76,12 +76,12 @@ def ingest_batch(catalog: Catalog, arrived: DataFrame, workspace_id: str, store_
     batch = plan.where("version_id is not null").join(bad, "version_id", "left_anti").select(
         "store_id", "file_id", "version_id")
     now = catalog.read("file_versions", workspace_id)
-    others = catalog.read_all("store_files").where(F.col("workspace_id") != workspace_id)
-    joined = publish_members(members, batch).withColumn("workspace_id", ws)
-    catalog.publish("store_files", others.unionByName(joined))
-    all_files = files.unionByName(born.join(files.select("file_id"), "file_id", "left_anti"))
-    other_files = catalog.read_all("files").where(F.col("workspace_id") != workspace_id)
-    catalog.publish("files", other_files.unionByName(publish(all_files, now, batch)))
+    new_pairs = publish_members(members, batch).join(members.select("store_id", "file_id"), ["store_id", "file_id"],
+                                                     "left_anti")
+    catalog.append("store_files", new_pairs.withColumn("workspace_id", ws).withColumn("added_at", F.current_timestamp()))
+    touched = files.unionByName(born.join(files.select("file_id"), "file_id", "left_anti")).join(
+        batch.select("file_id"), "file_id", "left_semi")
+    catalog.append("files", publish(touched, now, batch).withColumn("updated_at", F.current_timestamp()))
 
     rejected = checked.where("reason is not null").select("path", F.col("reason").alias("outcome"))
     done = plan.join(bad, "version_id", "left").select(
@@ -95,8 +95,7 @@ def stream_ingest(spark: SparkSession, folder: str, catalog: Catalog, workspace_
                   available_now: bool = True) -> StreamingQuery:
     """Start the continuous job. Each micro-batch is one publication."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = cut_lineage(batch)
-        ingest_batch(catalog, rows, workspace_id, store_id, profile, make_embedder)
+        ingest_batch(catalog, batch, workspace_id, store_id, profile, make_embedder)
 
     writer = new_files(spark, folder).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
