@@ -17,9 +17,10 @@ then once here there when where why how all any both each few more most other so
 than too very s t can will just don should now
 """.split()
 
-# What counts as an identifier in a question, and how many are used.
-IDENTIFIER_TOKEN = r"[A-Za-z0-9][\w.\-/]*"
-IDENTIFIER_CAPITALS = r"^[A-Z]{2,}[\w\-]*$"
+# What counts as an identifier in a question, and how many are used. A token is a letter or digit and the
+# [\w.-/] characters after it; it counts if it has a digit, or is two and more capitals followed by word characters.
+# Both tests are part of the pattern, so ordinary words never become rows of an array.
+IDENTIFIER = (r"(?<![\w.\-/])[_.\-/]*+((?=[\w.\-/]*[0-9])[A-Za-z0-9][\w.\-/]*|[A-Z]{2,}[\w\-]*(?![\w.\-/]))")
 MAX_IDENTIFIERS = 12
 
 
@@ -44,9 +45,8 @@ def slug(value: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Identifier-like tokens (a digit, or two and more capitals) in first-seen order, at most twelve."""
-    tokens = F.regexp_extract_all(text, F.lit(IDENTIFIER_TOKEN), F.lit(0))
-    kept = F.filter(tokens, lambda t: t.rlike(r"[0-9]") | t.rlike(IDENTIFIER_CAPITALS))
-    return F.slice(F.array_distinct(kept), 1, MAX_IDENTIFIERS)
+    found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(1))
+    return F.slice(F.array_distinct(found), 1, MAX_IDENTIFIERS)
 
 
 def terms(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seamark.functions.vectors import cosine_distance
-from seamark.operators.keyword import build_postings, search_keyword
+from seamark.operators.keyword import search_keyword, stored_postings
 from seamark.operators.vector_search import search_exact
 
 RRF_K = 60  # fixed value
@@ -24,7 +24,7 @@ def search_hybrid(queries: DataFrame, segments: DataFrame, k: int, postings: Dat
                   vector_search: Callable[[DataFrame, DataFrame, int], DataFrame] = search_exact) -> DataFrame:
     """Reciprocal rank fusion of vector and identifier rankings: (query_id, segment_id, distance, rrf, keyword_rank,
     vector_rank, rank). ``segments`` are the eligible ones of the store; ``modalities`` limits both rankings only."""
-    postings = build_postings(segments) if postings is None else postings
+    postings = stored_postings(segments) if postings is None else postings
     n = depth_of(k)
     allowed = segments if modalities is None else segments.where(F.col("modality").isin(list(modalities)))
     by_vector = vector_search(queries, allowed, n).select("query_id", "segment_id", F.col("rank").alias("rk"),

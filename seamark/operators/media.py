@@ -67,6 +67,7 @@ def group_transcript(lines: DataFrame, max_chars: int = 600, piece_lines: int =
     gives a small map from entry to exit line; the maps are chained per medium; then every piece finds its own
     passage starts. No task sees more than a piece and the lines that reach into it.
     """
+    piece_lines = max(piece_lines, 2 * max_chars)  # a passage reaches into the next piece at most
     spoken = spoken_lines(lines).select("media_id", "line_no", "start", "end", "text",
                                         F.length("text").alias("chars"))
     numbered = running_number(spoken, ["media_id"], ["line_no"], "line_no", "n", piece_lines)

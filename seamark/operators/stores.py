@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from seamark.functions.metadata import contains, display, is_scalar
 from seamark.functions.text import slug
 from seamark.operators.embedding import missing_vectors
+from seamark.schemas import STORE_FILTER
 from seamark.session import cut_lineage
 
 MAX_VIEW_DEPTH = 3  # fixed value
 MAX_SPLITS = 50  # fixed value
+TARGETS = T.ArrayType(T.StructType([T.StructField("store_id", T.StringType()), T.StructField("f", STORE_FILTER)]))
 FACTS = ["path", "metadata", "media_type", "version_no", "sha256"]
 
 
@@ -38,16 +40,30 @@ def members_direct(stores: DataFrame, store_files: DataFrame, files: DataFrame,
     return rows.join(facts, "version_id", "left").select("store_id", "file_id", "version_id", *FACTS)
 
 
-def resolve_views(views: DataFrame, members: DataFrame) -> DataFrame:
-    """Members of ``views`` from already resolved ``members`` of their parents: filter, then newest version per file."""
-    keep = views.select(F.col("store_id").alias("view_id"), F.explode(F.array_distinct("definition.parents"))
-                        .alias("store_id"), F.col("definition.filter").alias("f"))
-    hits = members.join(keep, "store_id").where(
-        contains(F.col("metadata"), F.col("f.metadata"))
-        & (F.col("f.path_prefix").isNull() | F.startswith(F.col("path"), F.col("f.path_prefix")))
-        & (F.col("f.media_types").isNull() | F.coalesce(F.array_contains("f.media_types", F.col("media_type")),
-                                                        F.lit(False))))
-    return newest_version(hits.withColumn("store_id", F.col("view_id")))
+def _passes(f: Column) -> Column:
+    """Condition of a view's filter on the columns of a member row."""
+    kinds, prefix = f["media_types"], f["path_prefix"]
+    return (contains(F.col("metadata"), f["metadata"]) & (prefix.isNull() | F.startswith(F.col("path"), prefix))
+            & (kinds.isNull() | F.coalesce(F.array_contains(kinds, F.col("media_type")), F.lit(False))))
+
+
+def _targets(views: DataFrame) -> DataFrame:
+    """(store_id, targets): the views over each parent with their filters. As many entries as there are views."""
+    each = views.select(F.explode(F.array_distinct("definition.parents")).alias("store_id"),
+                        F.struct("store_id", F.col("definition.filter").alias("f")).alias("target"))
+    return each.groupBy("store_id").agg(F.collect_list("target").alias("targets"))
+
+
+def resolve_views(views: DataFrame, members: DataFrame, keep: bool = False) -> DataFrame:
+    """Members of ``views`` from already resolved ``members`` of their parents: filter, then newest version per file.
+
+    ``keep`` also returns the given members: a row is sent to its own store and to the views it passes, in one go, so
+    the plan reads its input once however deep the views are.
+    """
+    shown = F.transform(F.filter(F.coalesce("targets", F.array().cast(TARGETS)), lambda v: _passes(v["f"])), lambda v: v["store_id"])
+    stores = F.concat(F.array("store_id"), shown) if keep else shown
+    sent = members.join(_targets(views), "store_id", "left" if keep else "inner")
+    return newest_version(sent.withColumn("store_id", F.explode(stores)).drop("targets"))
 
 
 def newest_version(rows: DataFrame) -> DataFrame:
@@ -61,16 +77,13 @@ def resolve_all(stores: DataFrame, store_files: DataFrame, files: DataFrame, ver
                 checkpoint: bool = False) -> DataFrame:
     """Members of every live store. Views are resolved level by level (at most three), all views of a level at once.
 
-    Each level reads the one below it twice; ``checkpoint`` stores a level first, which pays off on large corpora.
+    ``checkpoint`` stores the result, for jobs that use it several times.
     """
     resolved = members_direct(stores, store_files, files, versions)
     live_views = stores.where(F.col("deleted_at").isNull() & (F.col("kind") == "view"))
     for depth in range(1, MAX_VIEW_DEPTH + 1):
-        if checkpoint:
-            resolved = cut_lineage(resolved)
-        level = live_views.where(F.col("definition.depth") == depth)
-        resolved = resolved.unionByName(resolve_views(level, resolved))
-    return resolved
+        resolved = resolve_views(live_views.where(F.col("definition.depth") == depth), resolved, keep=True)
+    return cut_lineage(resolved) if checkpoint else resolved
 
 
 def snapshot(members: DataFrame, store_id: str, snapshot_id: str) -> DataFrame:

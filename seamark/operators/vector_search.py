@@ -13,11 +13,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seamark.functions.vectors import DISTANCE_DIGITS, matrix
 from seamark.operators.filters import Filter, matches
 
-SHIPPED_QUERY_VALUES = 4_000_000  # queries x dims that may travel with the tasks (32 MB of doubles)
+SHIPPED_QUERIES, SHIPPED_VALUES = 4096, 4_000_000  # queries, and queries x dims, that may travel with the tasks (32 MB)
 CELL_QUERIES, CELL_SEGMENTS = 2048, 16384  # largest cell of the grid
 QUERY_BLOCK = 256  # rows of one matrix product
 
@@ -58,8 +59,7 @@ def _result_batch(found: pd.DataFrame | None, schema: pa.Schema) -> pa.RecordBat
         [pa.array(columns[f.name].to_numpy() if found is not None else [], f.type) for f in schema], schema=schema)
 
 
-def _types(queries: DataFrame, segments: DataFrame, group: str | None) -> tuple[str, pa.Schema]:
-    from pyspark.sql.pandas.types import to_arrow_type
+def _types(queries: DataFrame, segments: DataFrame) -> tuple[str, pa.Schema]:
     fields = [("query_id", queries.schema["query_id"].dataType), ("segment_id", segments.schema["segment_id"].dataType)]
     ddl = ", ".join(f"{n} {t.simpleString()}" for n, t in fields) + ", distance double, grp string"
     arrow = pa.schema([(n, to_arrow_type(t)) for n, t in fields] + [("distance", pa.float64()), ("grp", pa.string())])
@@ -68,7 +68,7 @@ def _types(queries: DataFrame, segments: DataFrame, group: str | None) -> tuple[
 
 def _scan_topk(rows: list, queries: DataFrame, segments: DataFrame, k: int, group: str | None) -> DataFrame:
     """Queries travel with the tasks; every task keeps one running best list while it reads its segments."""
-    ddl, arrow = _types(queries, segments, group)
+    ddl, arrow = _types(queries, segments)
     ids = np.array([r["query_id"] for r in rows], dtype=object)
     grid = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     grid = grid / np.where((n := np.linalg.norm(grid, axis=1, keepdims=True)) == 0, 1, n)
@@ -100,7 +100,7 @@ def grid_topk(queries: DataFrame, segments: DataFrame, k: int, cell: Sequence[st
     Both sides carry the ``cell`` columns (none: all in one cell). A cell is cut into segment chunks and query blocks of
     bounded size by hash, so a cell that holds a third of all rows becomes many tasks instead of one.
     """
-    ddl, arrow = _types(queries, segments, group)
+    ddl, arrow = _types(queries, segments)
     cell = list(cell) or ["__all"]
     if cell == ["__all"]:
         queries, segments = queries.withColumn("__all", F.lit(0)), segments.withColumn("__all", F.lit(0))
@@ -142,7 +142,7 @@ def final_rank(candidates: DataFrame, k: int, group: str | None = None) -> DataF
 
 
 def search_exact(queries: DataFrame, segments: DataFrame, k: int, group: str | None = None,
-                 max_shipped: int = SHIPPED_QUERY_VALUES) -> DataFrame:
+                 max_shipped: int = SHIPPED_QUERIES) -> DataFrame:
     """Exact top-k: (query_id, segment_id, distance, rank), optionally per value of a segment column ``group``.
 
     ``queries(query_id, embedding)``, ``segments(segment_id, embedding, ...)``. The size of the query table is checked
@@ -150,10 +150,8 @@ def search_exact(queries: DataFrame, segments: DataFrame, k: int, group: str | N
     """
     asked = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
     stored = segments.where(F.col("embedding").isNotNull())
-    width = asked.select(F.size("embedding").alias("n")).limit(1).collect()
-    dims = max(width[0]["n"], 1) if width else 1
-    rows = asked.limit(max_shipped // dims + 1).collect()
-    if len(rows) * dims <= max_shipped:
+    rows = asked.limit(max_shipped + 1).collect()
+    if len(rows) <= max_shipped and sum(len(r["embedding"]) for r in rows) <= SHIPPED_VALUES:
         found = _scan_topk(rows, asked, stored, k, group)
     else:
         found = grid_topk(asked, stored, k, group=group)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seamark.functions.metadata import literal
 from seamark.functions.text import STOP_WORDS, identifiers
 from seamark.schemas import LIMITS, STORE_DEFINITION
+from seamark.session import cut_lineage
 from seamark.sources.files import media_type
 
 EPOCH = "2024-01-01 00:00:00"
@@ -225,14 +226,14 @@ class Tables:
                 .select("label", F.transform("ms", lambda s: s["m"]).alias("embedding")))
         d = self.raw("documents").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
         words = d.groupBy("label").agg(F.max_by("text", F.struct(F.size(identifiers(F.col("text"))), "doc_id")).alias("text"))
-        return mean.join(words, "label").select(F.concat(F.lit("q"), F.col("label").cast("string")).alias("query_id"),
-                                                "embedding", "text", F.col("label").alias("query_label"))
+        asked = mean.join(words, "label").select(F.concat(F.lit("q"), F.col("label").cast("string")).alias("query_id"),
+                                                 "embedding", "text", F.col("label").alias("query_label"))
+        return cut_lineage(asked)  # one row per label; a question table is read by every branch of a search
 
     @cached_property
     def word_queries(self) -> DataFrame:
-        """Questions for the keyword side: every document that names an identifier."""
-        return self.raw("documents").where(F.size(identifiers(F.col("text"))) > 0).select(
-            F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query_id"), "text")
+        """Questions for the keyword side: every document asks with its own text."""
+        return self.raw("documents").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query_id"), "text")
 
     @cached_property
     def transcript(self) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from seamark.plans.bindings import SQL_TABLES, Tables
+from seamark.session import ship_package
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,11 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``. ``sql`` may use the bound tables as CTEs and may start with
     its own WITH clause."""
     def wrap(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_tables(sql)
         return fn

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,23 @@ def build_session(app: str = "seamark", master: str | None = None, **extra: str)
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; their Python workers import it for the Arrow kernels."""
+    sc = spark.sparkContext
+    if getattr(sc, "_seamark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="seamark-")) / "seamark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._seamark_shipped = True
 
 
 def checkpoint_root(spark: SparkSession) -> str:
