@@ -26,7 +26,11 @@ FORMATS = [
 
 
 def scan_corpus(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Every file below ``root``: path relative to it, size, bytes. The bytes are read only if a later step uses them."""
+    """Every file below ``root``: path relative to it, size, bytes. The bytes are read only if a later step uses them.
+
+    Spark's file index already leaves out empty files and names starting with '.' or '_'; the gate reports those when the
+    listing comes from a manifest.
+    """
     base = root.rstrip("/") + "/"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", glob).load(root))

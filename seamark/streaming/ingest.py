@@ -16,9 +16,12 @@ from seamark.sources.catalog import Catalog
 from seamark.sources.files import gated
 
 
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def new_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """Stream of files appearing below a folder: path, size, content."""
-    raw = (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    raw = (spark.readStream.format("binaryFile").schema(BINARY_FILES).option("recursiveFileLookup", "true")
            .option("maxFilesPerTrigger", max_files).load(folder))
     base = folder.rstrip("/") + "/"
     return raw.select(F.element_at(F.split("path", F.lit(r"\Q" + base + r"\E"), 2), -1).alias("path"),

@@ -106,7 +106,11 @@ def test_scan_gate_verify(spark):
     good, bad = gate_files(files, 1000)
     assert {r.path: r.media_type for r in good.collect()} == {"a/x.txt": "text/plain", "c.MD": "text/markdown"}
     reasons = {r.path: r.reason for r in bad.collect()}
-    assert reasons["b.exe"] == "unsupported format" and reasons["empty.md"] == "empty file"
+    assert reasons == {"b.exe": "unsupported format"}  # empty and hidden files are not even scanned
+    listing = spark.createDataFrame([("empty.md", 0), ("a/.git/x.txt", 5), ("../x.txt", 1), ("e\u0301.txt", 1), ("big.md", 2000), ("a//b.md", 1)], "path string, size long")
+    good2, bad2 = gate_files(listing, 1000)
+    assert {r.path: r.reason for r in bad2.collect()} == {"empty.md": "empty file", "a/.git/x.txt": "hidden", "../x.txt": "unsafe path", "big.md": "too large", "a//b.md": "unsafe path"}
+    assert [r.path for r in good2.collect()] == ["\u00e9.txt"]
     manifest = good.select(F.col("path").alias("file_id"), "size", F.sha2("content", 256).alias("sha256"))
     assert {r.outcome for r in verify_checksums(good.select(F.col("path").alias("file_id"), "content"), manifest).collect()} == {"VERIFIED"}
 
