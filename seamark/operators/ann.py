@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamark.functions.vectors import matrix, normalized
 from seamark.operators.vector_search import final_rank, grid_topk, search_exact
+from seamark.session import cut_lineage
 
 MAX_CENTROID_VALUES = 16_000_000  # lists x dims that may travel with the tasks
 TRAINING_ROWS_PER_LIST = 256
@@ -47,7 +48,7 @@ def _nearest(df: DataFrame, centroids: np.ndarray, n: int, name: str) -> DataFra
 def build_ivf(segments: DataFrame, nlist: int, seed: int = 7, iterations: int = 10) -> IvfIndex:
     """Cluster unit vectors into ``nlist`` lists. Training uses a sample when there are many rows per list (a property
     of the index, not of its content): every segment is assigned to a list."""
-    stored = segments.where(F.col("embedding").isNotNull())
+    stored = segments.where(F.col("embedding").isNotNull()).select("segment_id", "embedding")
     total = stored.count()
     share = min(1.0, nlist * TRAINING_ROWS_PER_LIST / max(total, 1))
     unit = stored.select(array_to_vector(normalized(F.col("embedding"))).alias("features"))
@@ -58,7 +59,8 @@ def build_ivf(segments: DataFrame, nlist: int, seed: int = 7, iterations: int =
         raise ValueError("too many centroids to ship; lower nlist")
     centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     assigned = _nearest(stored, centroids, 1, "__lists")
-    return IvfIndex(centroids, assigned.withColumn("list", F.col("__lists")[0]).drop("__lists"))
+    # the index is a stored table: every search reads it, none assigns again
+    return IvfIndex(centroids, cut_lineage(assigned.withColumn("list", F.col("__lists")[0]).drop("__lists")))
 
 
 def search_ann(queries: DataFrame, index: IvfIndex, k: int, nprobe: int = 8) -> DataFrame:
@@ -67,7 +69,7 @@ def search_ann(queries: DataFrame, index: IvfIndex, k: int, nprobe: int = 8) ->
     asked = queries.select("query_id", "embedding")
     probes = (_nearest(asked, index.centroids, nprobe, "__lists")
               .select("query_id", "embedding", F.explode("__lists").alias("list")))
-    found = final_rank(grid_topk(probes, index.segments, k, cell=["list"]), k)
+    found = cut_lineage(final_rank(grid_topk(probes, index.segments, k, cell=["list"]), k))
     return refill_short(found, asked, index.segments, k)
 
 

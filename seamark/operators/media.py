@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seamark.functions.running import last_before, running_number
+from seamark.functions.running import running_number
 from seamark.profiles import MediaPreparation
 
 END_TOLERANCE = 0.05  # fixed value: a window does not start in the last 0.05 s
@@ -63,68 +66,86 @@ def group_transcript(lines: DataFrame, max_chars: int = 600, piece_lines: int =
 
     Greedy grouping: a line opens a new passage if it would take the current one over ``max_chars``. Where the passages
     of a medium begin depends on all lines before, yet one medium may hold any number of lines. So the lines are cut
-    into pieces. Each piece is walked from every line a passage could be open at (at most ``max_chars`` of them), which
-    gives a small map from entry to exit line; the maps are chained per medium; then every piece finds its own
-    passage starts. No task sees more than a piece and the lines that reach into it.
+    into pieces. A medium of one piece is walked at once. For a longer one, each piece is walked from every line a
+    passage could open at (at most ``max_chars`` of them), which gives a small map from entry line to exit line; chaining
+    the maps tells every piece where its first passage opens. No task sees more than a piece and the lines that reach
+    into it. Python gets the line lengths of many pieces per Arrow batch.
     """
     piece_lines = max(piece_lines, 2 * max_chars)  # a passage reaches into the next piece at most
-    spoken = spoken_lines(lines).select("media_id", "line_no", "start", "end", "text",
-                                        F.length("text").alias("chars"))
+    spoken = spoken_lines(lines).select("media_id", "line_no", "start", "end", "text", F.length("text").alias("chars"))
     numbered = running_number(spoken, ["media_id"], ["line_no"], "line_no", "n", piece_lines)
     pieces = numbered.withColumn("piece", F.floor(F.col("n") / piece_lines).cast("int"))
-    # lines at the head of a piece are also seen by the piece before: a passage may reach over the edge
-    reach = pieces.where((F.col("piece") > 0) & (F.col("n") % piece_lines < max_chars + 1)).withColumn(
-        "piece", F.col("piece") - 1)
-    sized = pieces.select("media_id", "piece", "n", "chars").unionByName(
-        reach.select("media_id", "piece", "n", "chars"))
-    media_type = lines.schema["media_id"].dataType.simpleString()
+    listed = pieces.groupBy("media_id", "piece").agg(F.sort_array(F.collect_list(
+        F.struct("n", "chars", "start", "end", "text"))).alias("lines")).withColumn("chars", F.col("lines.chars"))
+    placed = listed.join(_entries(pieces, max_chars, piece_lines), ["media_id", "piece"], "left")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = []
+            for piece, chars, entry, carry in zip(*(batch.column(c).to_pylist() for c in ("piece", "chars", "entry", "carry"))):
+                first = piece * piece_lines
+                following = _starts(np.asarray(chars), max_chars)
+                passage = np.full(len(chars), -1 if carry is None else carry)
+                at = (first if entry is None else entry) - first
+                while at < len(chars):
+                    passage[at:following[at]] = first + at
+                    at = int(following[at])
+                ids.append(passage)
+            passages = pa.array(ids, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("media_id"), batch.column("lines"), passages],
+                                             names=["media_id", "lines", "passages"])
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        first, piece = int(pdf["n"].iloc[0]), int(pdf["piece"].iloc[0])
-        own = min(len(pdf), (piece + 1) * piece_lines - first)
-        following = _starts(pdf["chars"].to_numpy(), max_chars)
-        leave = np.arange(len(pdf) + 1)
-        for i in range(own - 1, -1, -1):
-            leave[i] = leave[following[i]]
-        entries = np.arange(min(own, max_chars + 1))
-        return pd.DataFrame({"media_id": pdf["media_id"].iloc[0], "piece": piece, "entry": first + entries,
-                             "leave": first + leave[entries]})
-
-    hops = sized.groupBy("media_id", "piece").applyInPandas(
-        exits, f"media_id {media_type}, piece int, entry long, leave long")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        step = dict(zip(pdf["entry"].tolist(), pdf["leave"].tolist()))
-        at, opened = 0, []
-        while at in step:
-            opened.append(at)
-            at = step[at]
-        return pd.DataFrame({"media_id": pdf["media_id"].iloc[0], "piece": [n // piece_lines for n in opened],
-                             "entry": opened})
-
-    entered = hops.groupBy("media_id").applyInPandas(chain, f"media_id {media_type}, piece int, entry long")
-
-    def mark(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"media_id": [], "n": [], "opens": []}
-        if len(left) and len(right):
-            left = left.sort_values("n")
-            first, count = int(left["n"].iloc[0]), len(left)
-            following = _starts(left["chars"].to_numpy(), max_chars)
-            at, opened = int(right["entry"].iloc[0]) - first, []
-            while at < count and (first + at) // piece_lines == key[1]:
-                opened.append(first + at)
-                at = int(following[at])
-            out = {"media_id": left["media_id"].iloc[0], "n": opened, "opens": opened}
-        return pd.DataFrame(out)
-
-    starts = sized.groupBy("media_id", "piece").cogroup(entered.groupBy("media_id", "piece")).applyInPandas(
-        mark, f"media_id {media_type}, n long, opens long")
-    opened = starts.withColumn("k", F.lit(0)).select("media_id", "n", "opens")
-    tagged = last_before(numbered.join(opened, ["media_id", "n"], "left"), ["media_id"], "n", "n", F.col("opens"),
-                         "passage", piece_lines)
+    media_type = lines.schema["media_id"].dataType.simpleString()
+    walked = placed.mapInArrow(walk, f"media_id {media_type}, lines {listed.schema['lines'].dataType.simpleString()}, "
+                                     "passages array<bigint>")
+    each = walked.select("media_id", F.explode(F.arrays_zip("lines", "passages")).alias("z")).select(
+        "media_id", F.col("z.passages").alias("passage"), "z.lines.*")
     ordered = F.sort_array(F.collect_list(F.struct("n", F.trim("text").alias("t"))))
-    return tagged.groupBy("media_id", "passage").agg(
+    return each.groupBy("media_id", "passage").agg(
         F.round(F.min_by("start", "n"), 2).alias("start_seconds"), F.round(F.max_by("end", "n"), 2).alias("end_seconds"),
         F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias("content"), F.count(F.lit(1)).alias("lines")
     ).withColumn("kind", F.lit("transcript"))
+
+
+def _entries(pieces: DataFrame, max_chars: int, piece_lines: int) -> DataFrame:
+    """(media_id, piece, entry, carry) for media of several pieces: the first line of the piece that opens a passage, and
+    the passage that the lines before it belong to."""
+    long_media = pieces.where(F.col("piece") > 0).select("media_id").distinct()
+    own = pieces.join(long_media, "media_id", "left_semi").select("media_id", "piece", "n", "chars")
+    # lines at the head of a piece are also seen by the piece before: a passage may reach over the edge
+    reach = own.where((F.col("piece") > 0) & (F.col("n") % piece_lines <= max_chars)).withColumn("piece", F.col("piece") - 1)
+    sized = own.unionByName(reach).groupBy("media_id", "piece").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("n", "chars"))), lambda s: s["chars"]).alias("chars"))
+
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, entry, leave, last = [], [], [], []
+            for row, (piece, chars) in enumerate(zip(batch.column("piece").to_pylist(), batch.column("chars").to_pylist())):
+                first, count = piece * piece_lines, min(len(chars), piece_lines)
+                following = _starts(np.asarray(chars), max_chars)
+                out, opened = np.arange(len(chars) + 1), np.full(len(chars) + 1, -1)
+                for i in range(count - 1, -1, -1):
+                    out[i] = out[following[i]]
+                    opened[i] = i if following[i] >= count else opened[following[i]]
+                heads = min(count, max_chars + 1)
+                source += [row] * heads
+                entry += range(first, first + heads)
+                leave += (first + out[:heads]).tolist()
+                last += (first + opened[:heads]).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("media_id").take(pa.array(source, pa.int64())), *(pa.array(v, pa.int64()) for v in (entry, leave, last))],
+                names=["media_id", "entry", "leave", "last"])
+
+    media_type = pieces.schema["media_id"].dataType.simpleString()
+    hops = sized.mapInArrow(exits, f"media_id {media_type}, entry bigint, leave bigint, last bigint")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        step = {e: (leave, last) for e, leave, last in zip(pdf["entry"].tolist(), pdf["leave"].tolist(), pdf["last"].tolist())}
+        rows, at, carry = [], 0, None
+        while True:
+            rows.append((pdf["media_id"].iloc[0], at // piece_lines, at, carry))
+            if at not in step:
+                return pd.DataFrame(rows, columns=["media_id", "piece", "entry", "carry"]).astype({"carry": "Int64"})
+            at, carry = step[at]
+
+    return hops.groupBy("media_id").applyInPandas(chain, f"media_id {media_type}, piece int, entry bigint, carry bigint")

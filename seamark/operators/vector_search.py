@@ -101,20 +101,24 @@ def grid_topk(queries: DataFrame, segments: DataFrame, k: int, cell: Sequence[st
     bounded size by hash, so a cell that holds a third of all rows becomes many tasks instead of one.
     """
     ddl, arrow = _types(queries, segments)
-    cell = list(cell) or ["__all"]
-    if cell == ["__all"]:
-        queries, segments = queries.withColumn("__all", F.lit(0)), segments.withColumn("__all", F.lit(0))
+    cell = list(cell)
     columns = [*cell, "segment_id", "embedding"] + ([group] if group else [])
 
     def cuts(df: DataFrame, rows: int, name: str) -> DataFrame:
         return df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    sizes = cuts(queries, CELL_QUERIES, "__blocks").join(cuts(segments, CELL_SEGMENTS, "__chunks"), cell)
-    left = (queries.select(*cell, "query_id", "embedding").join(sizes, cell)
+    blocks, chunks = cuts(queries, CELL_QUERIES, "__blocks"), cuts(segments, CELL_SEGMENTS, "__chunks")
+    if cell:
+        sizes = blocks.join(chunks, cell)
+        sized = lambda df: df.join(sizes, cell)
+    else:  # one number each
+        sized = lambda df: df.withColumn("__blocks", blocks.scalar()).withColumn("__chunks", chunks.scalar()).where(
+            (F.col("__blocks") > 0) & (F.col("__chunks") > 0))
+    left = (sized(queries.select(*cell, "query_id", "embedding"))
             .withColumn("__block", F.pmod(F.xxhash64("query_id"), F.col("__blocks")))
             .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
             .withColumn("__chunk", F.col("__chunk").cast("long")).drop("__blocks", "__chunks"))
-    right = (segments.select(*columns).join(sizes, cell)
+    right = (sized(segments.select(*columns))
              .withColumn("__chunk", F.pmod(F.xxhash64("segment_id"), F.col("__chunks")))
              .withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
              .withColumn("__block", F.col("__block").cast("long")).drop("__blocks", "__chunks"))

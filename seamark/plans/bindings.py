@@ -133,16 +133,13 @@ class Tables:
 
     @cached_property
     def store_files(self) -> DataFrame:
-        d = self.docs.select("doc_id", "file_id", "source")
-        none = F.lit(None).cast("string")
-        own = d.select(F.col("source").alias("store_id"), "file_id", none.alias("pinned_version_id"))
+        n, doc = F.col("doc_id"), F.col("doc_id").cast("string")
         neighbour = F.concat(F.lit("src"), ((F.substring("source", 4, 9).cast("int") + 1) % 20).cast("string"))
-        second = d.where(F.col("doc_id") % 11 == 0).select(neighbour.alias("store_id"), "file_id",
-                                                           none.alias("pinned_version_id"))
-        frozen = d.where(F.col("doc_id") % 9 == 0).select(
-            F.lit("snap").alias("store_id"), "file_id",
-            F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit("-1")).alias("pinned_version_id"))
-        return own.unionByName(second).unionByName(frozen)
+        held = lambda store, pin: F.struct(store.alias("store_id"), pin.cast("string").alias("pinned_version_id"))
+        rows = F.array_compact(F.array(
+            held(F.col("source"), F.lit(None)), F.when(n % 11 == 0, held(neighbour, F.lit(None))),
+            F.when(n % 9 == 0, held(F.lit("snap"), F.concat(F.lit("v"), doc, F.lit("-1"))))))
+        return self.docs.select("file_id", F.explode(rows).alias("h")).select("h.store_id", "file_id", "h.pinned_version_id")
 
     @cached_property
     def revisions(self) -> DataFrame:

@@ -8,7 +8,7 @@ from seamark.operators.evaluation import (check_export, compare_runs, eval_answe
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
 from seamark.operators.hybrid import search_balanced, search_hybrid
-from seamark.operators.keyword import build_postings, search_keyword, selective_terms, stored_postings
+from seamark.operators.keyword import build_postings, search_keyword, selective_terms, term_index
 from seamark.operators.statistics import store_stats
 from seamark.operators.vector_search import eligible, search_exact
 from seamark.plans.registry import query
@@ -115,12 +115,12 @@ def postings(t):
 
 @query("selective_terms", f"WITH {KEYWORD_SQL} SELECT query_id, token, passages FROM selective")
 def selective_terms_query(t):
-    return selective_terms(t.word_queries, t.p1, stored_postings(t.p1)).select("query_id", "token", "passages")
+    return selective_terms(t.word_queries, t.p1, term_index(t.p1)).select("query_id", "token", "passages")
 
 
 @query("keyword_rank", f"WITH {KEYWORD_SQL} SELECT query_id, segment_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kw")
 def keyword_rank_query(t):
-    return search_keyword(t.word_queries, t.p1, stored_postings(t.p1), 40).withColumn("score", F.round("score", 6))
+    return search_keyword(t.word_queries, t.p1, term_index(t.p1), 40).withColumn("score", F.round("score", 6))
 
 
 _HYBRID = f"{topk_sql('p1', 40)}, {HYBRID_KEYWORD_SQL}, {fused_sql(10)}"

@@ -8,7 +8,7 @@ from seamark.operators.evaluation import compare_runs, eval_answers, eval_hits,
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
 from seamark.operators.hybrid import search_balanced, search_hybrid
-from seamark.operators.keyword import build_postings, search_keyword, selective_terms
+from seamark.operators.keyword import search_keyword, selective_terms, term_index
 from seamark.operators import vector_search
 from seamark.operators.vector_search import eligible, search_exact
 
@@ -124,10 +124,10 @@ def test_selective_terms_and_proximity(spark):
     segments = passages(spark)
     asked = spark.createDataFrame([("q1", "Which oil for PS-400?"), ("q2", "the AB code IT"), ("q3", "plain words"),
                                    ("q4", "PS-400 and XX99")], "query_id string, text string")
-    postings = build_postings(segments)
-    kept = {(r.query_id, r.token): r.passages for r in selective_terms(asked, segments, postings).collect()}
+    index = term_index(segments)
+    kept = {(r.query_id, r.token): r.passages for r in selective_terms(asked, segments, index).collect()}
     assert kept == {("q1", "PS-400"): 2, ("q4", "PS-400"): 2}  # AB is in most passages, IT is a stop word, XX99 nowhere
-    rows = search_keyword(asked, segments, postings, 10).collect()
+    rows = search_keyword(asked, segments, index, 10).collect()
     assert [(r.segment_id, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "q1"] == [
         ("s1", 1.0), ("s2", 1.0 / 2)]  # 'PS x 400' spans three words for two terms
     assert {r.query_id for r in rows} == {"q1", "q4"}
