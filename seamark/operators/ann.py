@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamark.functions.vectors import matrix, normalized
 from seamark.operators.vector_search import final_rank, grid_topk, search_exact
@@ -81,3 +81,17 @@ def refill_short(found: DataFrame, queries: DataFrame, segments: DataFrame, k: i
     if short.isEmpty():
         return found
     return found.join(full, "query_id", "left_semi").unionByName(search_exact(short, segments, k))
+
+
+def save_index(index: IvfIndex, path: str) -> None:
+    """Write an index with one folder per list, so a search reads only the lists it probes."""
+    spark = index.segments.sparkSession
+    index.segments.repartition("list", F.pmod(F.xxhash64("segment_id"), F.lit(64))).write.partitionBy("list").parquet(
+        f"{path}/segments")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(index.centroids)]
+    spark.createDataFrame(rows, "list int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+
+
+def load_index(spark: SparkSession, path: str) -> IvfIndex:
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # bounded by MAX_CENTROID_VALUES
+    return IvfIndex(np.array([r["centroid"] for r in rows]), spark.read.parquet(f"{path}/segments"))

@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seamark.session import bounded
+
+MAX_HITS = 100_000  # evidence rows, with their text, that may be broadcast
+
 
 def evidence(hits: DataFrame, segments: DataFrame, members: DataFrame, files: DataFrame,
              versions: DataFrame) -> DataFrame:
     """Rows for ``hits(query_id, segment_id, distance, rank)``: score, content or media reference, source.
 
-    Files are checked to be live once more after the ranking: a deletion can only shrink a result. The few hits are
-    joined to the big tables, never the reverse.
+    ``members`` are those of one store. Files are checked to be live once more after the ranking: a deletion can only
+    shrink a result. Every join keeps at most one row per hit, so with few hits (counted) each big table is scanned in
+    place and the hits are broadcast; with many, joins shuffle.
     """
+    asked = bounded(hits, MAX_HITS)
+    few = asked.count() <= MAX_HITS
+    side = F.broadcast if few else (lambda rows: rows)
     alive = files.where(F.col("deleted_at").isNull()).select("file_id", "path", "metadata")
-    rows = (hits.join(segments.select("segment_id", "version_id", "modality", "location", "content"), "segment_id")
-            .join(members.select("file_id", "version_id"), "version_id").join(alive, "file_id")
-            .join(versions.select("version_id", "version_no", "filename", "media_type"), "version_id"))
+    found = segments.select("segment_id", "version_id", "modality", "location", "content").join(asked, "segment_id")
+    owned = members.select("file_id", "version_id").join(side(found), "version_id")
+    lived = alive.join(side(owned), "file_id")
+    rows = versions.select("version_id", "version_no", "filename", "media_type").join(side(lived), "version_id")
     is_text = F.col("modality") == "text"
     media_url = F.concat(F.lit("/files/"), F.col("file_id"), F.lit("/content?version_id="), F.col("version_id"))
     source = F.struct("file_id", "version_id", "version_no", "filename", "path", "media_type", "location", "metadata")

@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seamark.functions.vectors import cosine_distance
-from seamark.operators.keyword import TermIndex, search_keyword, term_index
+from seamark.operators.keyword import search_keyword, term_index
 from seamark.operators.vector_search import search_exact
+from seamark.session import bounded
 
 RRF_K = 60  # fixed value
+MAX_HITS = 1_000_000  # candidates of all queries that may be broadcast
 MODALITIES = ("text", "image", "audio", "video")  # fixed values
 
 
@@ -19,23 +21,24 @@ def depth_of(k: int) -> int:
     return max(4 * k, 40)
 
 
-def search_hybrid(queries: DataFrame, segments: DataFrame, k: int, index: TermIndex | None = None,
+def search_hybrid(queries: DataFrame, segments: DataFrame, k: int, postings: DataFrame | None = None,
                   modalities: Sequence[str] | None = None,
                   vector_search: Callable[[DataFrame, DataFrame, int], DataFrame] = search_exact) -> DataFrame:
     """Reciprocal rank fusion of vector and identifier rankings: (query_id, segment_id, distance, rrf, keyword_rank,
     vector_rank, rank). ``segments`` are the eligible ones of the store; ``modalities`` limits both rankings only."""
-    index = term_index(segments) if index is None else index
+    postings = term_index(segments) if postings is None else postings
     n = depth_of(k)
     allowed = segments if modalities is None else segments.where(F.col("modality").isin(list(modalities)))
     by_vector = vector_search(queries, allowed, n).select("query_id", "segment_id", F.col("rank").alias("rk"),
                                                           F.lit("vec").alias("src"))
-    by_word = search_keyword(queries, segments, index, n, allowed if modalities is not None else None).select(
+    by_word = search_keyword(queries, segments, postings, n, allowed if modalities is not None else None).select(
         "query_id", "segment_id", F.col("rank").alias("rk"), F.lit("kw").alias("src"))
     fused = by_vector.unionByName(by_word).groupBy("query_id", "segment_id").agg(
         F.sum(F.lit(1.0) / (F.lit(RRF_K) + F.col("rk"))).alias("rrf"),
         F.min(F.when(F.col("src") == "kw", F.col("rk"))).alias("keyword_rank"),
         F.min(F.when(F.col("src") == "vec", F.col("rk"))).alias("vector_rank"))
-    located = (fused.join(allowed.select("segment_id", F.col("embedding").alias("__s")), "segment_id")
+    # at most 2n rows per query: with few enough queries the embeddings are looked up without being shuffled
+    located = (bounded(fused, MAX_HITS).join(allowed.select("segment_id", F.col("embedding").alias("__s")), "segment_id")
                .join(queries.select("query_id", F.col("embedding").alias("__q")), "query_id")
                .withColumn("distance", cosine_distance(F.col("__s"), F.col("__q"))).drop("__s", "__q"))
     order = W.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), "distance", "segment_id")

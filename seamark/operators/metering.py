@@ -52,19 +52,19 @@ def gib_months(samples: DataFrame, current: DataFrame, now: Column) -> DataFrame
     """Time-weighted GiB of the month of ``now``: every sample holds until the next one, the last until ``now``.
 
     ``samples(workspace_id, at, bytes)``, ``current(workspace_id, bytes)``. Samples of the hour before the month count
-    from its start. Intervals are closed inside each day; only the first sample of a day crosses a day border, so a
-    workspace with very many samples is spread over its days.
+    from its start. Intervals are closed inside each hour; only the first sample of an hour crosses an hour border, so a
+    workspace with very many samples is spread over its hours.
     """
     month = F.date_trunc("month", now)
     points = (samples.where((F.col("at") >= month - F.expr("interval 1 hour")) & (F.col("at") < now))
               .select("workspace_id", F.greatest("at", month).alias("t"), "at", "bytes"))
-    points = points.withColumn("day", F.date_trunc("day", "t"))
-    firsts = points.groupBy("workspace_id", "day").agg(F.min(F.struct("t", "at")).alias("f"))
-    later = firsts.select("workspace_id", "day", F.lead("f.t").over(
-        W.partitionBy("workspace_id").orderBy("day")).alias("next_day"))
-    inside = W.partitionBy("workspace_id", "day").orderBy("t", "at")
-    held = (points.withColumn("next", F.lead("t").over(inside)).join(later, ["workspace_id", "day"])
-            .withColumn("until", F.coalesce("next", "next_day", now)))
+    points = points.withColumn("hour", F.date_trunc("hour", "t"))
+    firsts = points.groupBy("workspace_id", "hour").agg(F.min(F.struct("t", "at")).alias("f"))
+    later = firsts.select("workspace_id", "hour", F.lead("f.t").over(
+        W.partitionBy("workspace_id").orderBy("hour")).alias("next_hour"))
+    inside = W.partitionBy("workspace_id", "hour").orderBy("t", "at")
+    held = (points.withColumn("next", F.lead("t").over(inside)).join(later, ["workspace_id", "hour"])
+            .withColumn("until", F.coalesce("next", "next_hour", now)))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     area = (F.col("bytes").cast("decimal(38,0)") * (micros(F.col("until")) - micros(F.col("t"))))
     month_micros = micros(F.add_months(month, 1)) - micros(month)

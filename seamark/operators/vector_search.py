@@ -17,9 +17,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from seamark.functions.vectors import DISTANCE_DIGITS, matrix
 from seamark.operators.filters import Filter, matches
+from seamark.session import bounded
 
 SHIPPED_QUERIES, SHIPPED_VALUES = 4096, 4_000_000  # queries, and queries x dims, that may travel with the tasks (32 MB)
 CELL_QUERIES, CELL_SEGMENTS = 2048, 16384  # largest cell of the grid
+MAX_MEMBERS = 1_000_000  # versions of a store that may be broadcast
 QUERY_BLOCK = 256  # rows of one matrix product
 
 
@@ -165,9 +167,10 @@ def search_exact(queries: DataFrame, segments: DataFrame, k: int, group: str | N
 def eligible(segments: DataFrame, members: DataFrame, profile_id: str, wanted: Filter | None = None,
              modalities: Sequence[str] | None = None) -> DataFrame:
     """Segments that may answer: of the profile, of members passing the filter, of the modalities. The filter comes
-    before the ranking, so a selective filter still fills the result."""
+    before the ranking, so a selective filter still fills the result. A store of up to ``MAX_MEMBERS`` versions is broadcast,
+    so the embeddings are scanned in place; a larger one is shuffled with them."""
     kept = members.where(matches(wanted)) if wanted else members
     rows = segments.where(F.col("profile_id") == profile_id)
     if modalities is not None:
         rows = rows.where(F.col("modality").isin(list(modalities)))
-    return rows.join(kept.select("version_id"), "version_id", "left_semi")
+    return rows.join(bounded(kept.select("version_id").distinct(), MAX_MEMBERS), "version_id", "left_semi")

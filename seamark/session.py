@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings that suit corpus jobs at any size. Shuffle partitions start high and AQE merges the small ones, so the
 # same plan fits 1 GB and 100 TB; skewed sort-merge joins are split at run time.
@@ -64,3 +64,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """Store a result and mark it for broadcast if it has at most ``max_rows`` rows; otherwise joins shuffle as usual.
+
+    The size is known before the join is planned, so a big table on the other side is never shuffled for a small one.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

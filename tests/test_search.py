@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamark.functions.text import identifiers
-from seamark.operators.ann import build_ivf, search_ann
+from seamark.operators.ann import build_ivf, load_index, save_index, search_ann
 from seamark.operators.evaluation import compare_runs, eval_answers, eval_hits, eval_recall
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
@@ -82,6 +82,17 @@ def test_ann_recall_and_hot_list(spark, corpus, monkeypatch):
     assert recall.agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_saved_index_answers_alike(spark, corpus):
+    import tempfile
+    _, _, _, segments = corpus
+    asked = frame(spark, ["q0", "q1"], vectors(2, 5), "query_id")
+    index = build_ivf(segments, 6)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/index"
+    save_index(index, folder)
+    rows = lambda i: sorted(map(str, search_ann(asked, i, 5, 2).collect()))
+    assert rows(load_index(spark, folder)) == rows(index)
+
+
 def test_short_approximate_results_are_refilled(spark, corpus):
     _, _, _, segments = corpus
     asked = frame(spark, ["q0", "q1"], vectors(2, 5), "query_id")
