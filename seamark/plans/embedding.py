@@ -17,10 +17,10 @@ def hash_embed(t):
 
 @query("normalize_vectors", """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN embedding[1:63] WHEN vec_id % 10 = 4 THEN list_transform(embedding, lambda x: 0.0)
-  ELSE list_transform(embedding, lambda x: x * (label + 1)) END AS e FROM embeddings),
+  ELSE list_transform(embedding, lambda x: CAST(x * (label + 1) AS FLOAT)) END AS e FROM embeddings),
 n AS (SELECT *, CASE WHEN len(e) <> 64 THEN 'DIMENSION_MISMATCH' WHEN vec_id % 10 IN (4, 5) THEN 'NON_FINITE_EMBEDDING' END AS error_code,
   sqrt(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM v)
-SELECT vec_id, error_code, CASE WHEN error_code IS NULL THEN round(e[1] / l, 5) END AS first_value FROM n""")
+SELECT vec_id, error_code, CASE WHEN error_code IS NULL THEN round(CAST(CAST(e[1] / l AS FLOAT) AS DOUBLE), 5) END AS first_value FROM n""")
 def normalize_vectors(t):
     e, n = F.col("embedding"), F.col("vec_id") % 10
     scaled = F.transform(e, lambda x: (x * (F.col("label") + 1)).cast("float"))

@@ -181,11 +181,11 @@ s AS (SELECT step, le, sum(n) OVER (PARTITION BY le ORDER BY step RANGE BETWEEN
 r AS (SELECT *, 0.95 * max(n) OVER (PARTITION BY step) AS rank FROM s),
 e AS (SELECT step, min(le) FILTER (n >= rank) AS ule, coalesce(max(le) FILTER (n < rank), 0) AS lle, min(n) FILTER (n >= rank) AS un,
   coalesce(max(n) FILTER (n < rank), 0) AS ln, any_value(rank) AS rank FROM r GROUP BY step)
-SELECT step, round(CASE WHEN ule = 1e300 THEN lle ELSE lle + (ule - lle) * (rank - ln) / (un - ln) END, 6) AS value FROM e""")
+SELECT step, round(CASE WHEN ule = 1e300 THEN lle ELSE lle + (ule - lle) * (rank - ln) / (un - ln) END, 9) AS value FROM e""")
 def p95_from_buckets(t):
     step = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / HOUR)
     requests = t.raw("events").select(step.alias("step"), (F.col("value") / 40).alias("seconds"))
     grown = latency_histogram(requests, ["step"]).select(
         "step", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string")).alias("le"),
         F.col("n").cast("double").alias("grown"))
-    return quantile_from_buckets(grown, 0.95, 6).withColumn("value", F.round("value", 6))
+    return quantile_from_buckets(grown, 0.95, 6).withColumn("value", F.round("value", 9))

@@ -69,7 +69,7 @@ def main() -> int:
     wanted = sys.argv[2:] or list(QUERIES)
     sf_dir = f"/root/testdata/{sf}"
     spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                                     "spark.driver.memory": "8g"})
+                                                     "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     for name in wanted:
