@@ -92,13 +92,13 @@ def vector_topk_grid(t):
 
 @query("ann_topk")
 def ann_topk(t):
-    return search_ann(t.queries, build_ivf(t.p1, 16), 10, 6).select("query_id", "segment_id", "rank",
+    return search_ann(t.queries, build_ivf(t.p1, 16), 10, 12).select("query_id", "segment_id", "rank",
                                                                     F.round(1 - F.col("distance"), 6).alias("score"))
 
 
 @query("ann_recall")
 def ann_recall(t):
-    found = search_ann(t.queries, build_ivf(t.p1, 16), 10, 6)
+    found = search_ann(t.queries, build_ivf(t.p1, 16), 10, 12)
     return eval_recall(found, search_exact(t.queries, t.p1, 10), 10)
 
 
