@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.llm import simhash
+from seamark.llm import packing, simhash
 from seamark.llm.common import table
 from seamark.session import ship_package
 
+def vocabulary() -> str:
+    """The byte-level vocabulary that the contracts name; the operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op4_pack")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
