@@ -46,3 +46,9 @@ def split_words(text: Column, between: str) -> Column:
 def document_key(text: Column) -> Column:
     """With doc_id it names a row; rows equal in both are one document whose copies all get its result."""
     return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
+def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small fixed table as one expression, so that it needs no Python worker."""
+    structs = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

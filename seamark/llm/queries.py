@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.llm import packing, simhash
-from seamark.llm.common import table
+from seamark.llm import mpeg, packing, sharding, simhash, token_store, url_rules
+from seamark.llm.common import literal_rows, shared_table, table
 from seamark.session import ship_package
 
 def vocabulary() -> str:
@@ -31,11 +31,59 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_token_store")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = token_store.write_store(docs, vocabulary())
+    found = token_store.fetch(store, docs, "doc_id")
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op3_shard")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"),
+                       F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.shard_rows(rows, ["doc_id", "text_crc32", "size"], 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
 @query("op4_pack")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
+# Fixed values of the contract: (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op5_url_rules", f"""
+    WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {', '.join(map(str, URL_RULES))}),
+    rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r
+             FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    sites AS (SELECT DISTINCT host, path FROM parts),
+    best AS (SELECT host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                    max_by(rule_verdict, length(rule_host || rule_path)) AS verdict
+             FROM sites JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+             GROUP BY host, path)
+    SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') AS verdict
+    FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = literal_rows(spark, ["host", "path", "verdict"], URL_RULES)
+    judged = url_rules.judge(table(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_mpeg")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = shared_table(mpeg.encode_texts(table(spark, sf_dir, "documents")), "media")
+    return mpeg.read_media(stored)
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
