@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.llm import mpeg, packing, sharding, simhash, token_store, url_rules
+from seamark.llm import mpeg, packing, sharding, simhash, token_store, toxicity, url_rules
 from seamark.llm.common import literal_rows, shared_table, table
 from seamark.session import ship_package
 
@@ -39,6 +39,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 @query("op3_shard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
