@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.llm import mpeg, packing, sharding, simhash, token_store, toxicity, url_rules
+from seamark.llm import decontamination, mpeg, packing, sharding, simhash, token_store, toxicity, url_rules
 from seamark.llm.common import literal_rows, shared_table, table
 from seamark.session import ship_package
 
@@ -87,6 +87,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+WORDS_SQL = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op8_decontaminate", f"""
+    WITH d AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents),
+    b AS (SELECT item_id, {WORDS_SQL.format('text')} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+           FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+    lens AS (SELECT DISTINCT n FROM iw),
+    dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN lens WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN iw ON dw.t = iw.t AND dw.n = iw.n),
+    places AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM hits),
+    n_hit AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("tie")
+
+
 @query("op9_mpeg")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = shared_table(mpeg.encode_texts(table(spark, sf_dir, "documents")), "media")
