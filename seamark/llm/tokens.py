@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-CHUNKS, PRETOKENS = 250_000, 400_000  # entries that a worker keeps; a full cache is emptied
+CHUNKS, PRETOKENS = 600_000, 800_000  # entries that a worker keeps; a full cache is emptied
 
 # The split pattern of byte-level vocabularies of this kind, and the bytes that stand for themselves in
 # their alphabet; the other bytes are written as the characters from 256 on, in order.
