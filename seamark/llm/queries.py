@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.llm import decontamination, mpeg, packing, sharding, simhash, token_store, toxicity, url_rules
+from seamark.llm import decontamination, licenses, line_dedup, mpeg, packing, sharding, simhash, token_store, toxicity, url_rules
 from seamark.llm.common import literal_rows, shared_table, table
 from seamark.session import ship_package
 
@@ -87,7 +87,67 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+
+
 WORDS_SQL = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_PARTS = line_dedup.EDITS + 1
+
+
+@query("op6_line_dedup", f"""
+    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+    firsts AS (SELECT line, min((doc_id, pos)) AS spot FROM lines WHERE length(line) >= {line_dedup.EXACT_FROM} GROUP BY line),
+    long AS (SELECT line, length(line) AS n FROM firsts WHERE length(line) >= {line_dedup.NEAR_FROM}),
+    parts AS (SELECT line, n, i, n // {_PARTS} * i + greatest(0, i - ({_PARTS} - n % {_PARTS})) AS since,
+                     n // {_PARTS} + CASE WHEN i >= {_PARTS} - n % {_PARTS} THEN 1 ELSE 0 END AS size
+              FROM long CROSS JOIN range({_PARTS}) AS r(i)),
+    pieces AS (SELECT *, substr(line, since + 1, size) AS piece FROM parts),
+    shapes AS (SELECT DISTINCT n, i, since, size FROM parts),
+    tries AS (SELECT a.line, s.n, s.i, substr(a.line, s.since + 1 + shift, s.size) AS piece
+              FROM long a JOIN shapes s ON s.n BETWEEN a.n - {line_dedup.EDITS} AND a.n
+              CROSS JOIN range(-{line_dedup.EDITS}, {line_dedup.EDITS} + 1) AS r(shift) WHERE s.since + shift >= 0),
+    pairs AS (SELECT DISTINCT t.line AS a, p.line AS b FROM tries t JOIN pieces p ON t.n = p.n AND t.i = p.i AND t.piece = p.piece
+              WHERE length(p.line) < length(t.line) OR p.line < t.line),
+    near AS (SELECT DISTINCT a AS line FROM pairs WHERE levenshtein(a, b) <= {line_dedup.EDITS}),
+    judged AS (SELECT doc_id, pos, lines.line, length(lines.line) < {line_dedup.EXACT_FROM} OR ((doc_id, pos) = firsts.spot AND near.line IS NULL) AS stays,
+                      length(lines.line) >= {line_dedup.EXACT_FROM} AND (doc_id, pos) = firsts.spot AND near.line IS NOT NULL AS is_near
+               FROM lines LEFT JOIN firsts ON lines.line = firsts.line LEFT JOIN near ON lines.line = near.line)
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '') AS text, CAST(count(*) AS INTEGER) AS n_lines,
+           CAST(count(*) FILTER (WHERE NOT stays AND NOT is_near) AS INTEGER) AS n_exact, CAST(count(*) FILTER (WHERE is_near) AS INTEGER) AS n_near
+    FROM judged GROUP BY doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_exact", "n_near")
+
+
+_TEMPLATES = [(k, label, k < len(licenses.PHRASES), text) for k, (text, label) in enumerate(licenses.PHRASES + licenses.NOTICES)]
+
+
+@query("op7_licenses", f"""
+    WITH d AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents),
+    templates(template, label, phrase, body) AS (VALUES {', '.join(map(str, _TEMPLATES))}),
+    tw AS (SELECT *, string_split(body, ' ') AS w FROM templates),
+    grams AS (SELECT template, label, phrase, len(w) - 2 AS n, j, array_to_string(w[j + 1:j + 3], ' ') AS g
+              FROM (SELECT *, unnest(range(len(w) - 2)) AS j FROM tw)),
+    hits AS (SELECT doc_id, template, label, phrase, n, i, i - j AS diagonal
+             FROM (SELECT doc_id, i, array_to_string(w[i + 1:i + 3], ' ') AS g
+                   FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) >= 3)) JOIN grams USING (g)),
+    votes AS (SELECT doc_id, template, label, phrase, n, diagonal, count(*) AS votes, min(i) AS lo, max(i) AS hi FROM hits GROUP BY ALL),
+    lagged AS (SELECT *, lag(diagonal) OVER o AS before, lag(hi) OVER o AS until FROM votes WHERE NOT phrase
+               WINDOW o AS (PARTITION BY doc_id, template ORDER BY lo, diagonal)),
+    runs AS (SELECT *, sum(CASE WHEN before IS NULL OR abs(diagonal - before) > {licenses.SHIFT} OR lo - until > {3 + licenses.SHIFT}
+                                THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY lo, diagonal) AS run FROM lagged),
+    merged AS (SELECT doc_id, template, label, n, run, sum(votes) AS votes, min(lo) AS lo, max(hi) + 3 AS upto FROM runs GROUP BY ALL),
+    spans AS (SELECT doc_id, label, phrase, lo, 1.0::DOUBLE AS cover FROM votes WHERE phrase AND votes = n
+              UNION ALL SELECT doc_id, label, false, lo, least(votes::DOUBLE / n, 1.0) FROM merged
+              WHERE upto - lo <= {licenses.STRETCH} * (n + 2) + {licenses.SHIFT}),
+    found AS (SELECT doc_id, count(*) FILTER (WHERE phrase) AS n_base, min(lo) FILTER (WHERE phrase) AS first_word,
+                     max(lo) FILTER (WHERE phrase) AS last_word,
+                     array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE phrase)), ',') AS base_labels,
+                     array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE phrase OR cover >= {licenses.COVER})), ',') AS labels,
+                     max(cover) AS score FROM spans GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN found USING (doc_id)""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
 @query("op8_decontaminate", f"""

@@ -33,9 +33,9 @@ def hashed_words(text: Column) -> tuple[Column, Column]:
     return words, lambda w: (F.transform(w, bucket), F.transform(w, lambda x: bucket(F.substring(x, 1, PREFIX))))
 
 
-def with_hashed_words(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with arrays ``__w`` and ``__p`` in place of the text."""
-    others = [c for c in docs.columns if c != text]
+def with_hashed_words(docs: DataFrame, text: str, keep_text: bool = False) -> DataFrame:
+    """``docs`` with arrays ``__w`` and ``__p``, in place of the text unless it is kept."""
+    others = [c for c in docs.columns if c != text or keep_text]
     words, hashed = hashed_words(F.col(text))
     w, p = hashed(F.col("__words"))
     return docs.select(*others, words.alias("__words")).select(*others, w.alias("__w"), p.alias("__p"))
@@ -259,8 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     return m
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the text, with ``score`` (0 to 1), ``threshold`` of the row's language and ``toxic``.
+def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless it is kept, with ``score`` (0 to 1), ``threshold`` of the row's language and ``toxic``.
 
     Only the text is an input of the score. Null and empty texts have the score of no words; repeated rows stay, each
     with the same score; an empty table gives no rows; an unknown or missing language takes the general threshold.
@@ -272,11 +272,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang")
         bounds = w.offsets.to_numpy().astype(np.int64)
         return pa.array(shared.value.score(w.values.to_numpy(zero_copy_only=False), p.values.to_numpy(zero_copy_only=False), bounds))
 
-    others = [c for c in docs.columns if c not in (text, "score", "threshold", "toxic")]
+    taken = ("score", "threshold", "toxic") if keep_text else (text, "score", "threshold", "toxic")
+    others = [c for c in docs.columns if c not in taken]
     limit = F.lit(model.fallback)
     for name, value in sorted(model.thresholds.items()):
         limit = F.when(F.col(lang) == name, F.lit(value)).otherwise(limit) if lang in docs.columns and name else limit
-    out = with_hashed_words(docs.select(*others, text), text).select(*others, scored("__w", "__p").alias("score"))
+    out = with_hashed_words(docs.select(*others, *([] if keep_text else [text])), text, keep_text).select(*others, scored("__w", "__p").alias("score"))
     return out.withColumn("threshold", limit).withColumn("toxic", F.col("score") >= F.col("threshold"))
 
 
