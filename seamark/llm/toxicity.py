@@ -22,6 +22,7 @@ DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 GAP = 3                     # empty rows after each text, so that no window reaches into the next
 SPAN = 100_000              # words at a time
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 4500   # labelled rows learned from, at most
+MIN_CLASS = 10              # calibration rows of each class that a threshold needs
 MAX_WORDS = 5_000_000       # words of those rows altogether, at most
 VISITS, BATCH, RATE, DROP = 24_000, 32, 0.1, 0.2   # texts shown in training, repeats included, if they are enough for 4 to 12 rounds
 
@@ -167,8 +168,8 @@ def _adagrad(value: np.ndarray, grad: np.ndarray, memory: np.ndarray) -> None:
 def calibrate(m: Model, logits: np.ndarray, labels: np.ndarray, langs: np.ndarray, prior: float) -> None:
     """Platt scaling at the labelled share of toxic rows, then per language the threshold with the best F1.
 
-    Where a range of thresholds is equally good, its middle is taken; a language with under 20 labelled rows or none of a
-    class keeps the threshold of all languages.
+    Where a range of thresholds is equally good, its middle is taken. A language with under ``MIN_CLASS`` rows of a class
+    keeps the threshold of all languages, and that one is 0.5 if there are no more rows altogether.
     """
     share = labels.mean() if len(labels) else 0.5
     weight = np.where(labels == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
@@ -185,16 +186,14 @@ def calibrate(m: Model, logits: np.ndarray, labels: np.ndarray, langs: np.ndarra
         a, b = a - move[0], b - move[1]
     m.scale, m.shift = float(max(a, 1e-3)), float(b)
     score = 1 / (1 + np.exp(-np.clip(m.scale * logits + m.shift, -30, 30)))
-    m.fallback = best_threshold(score, labels, 0.3)
+    enough = lambda y: min((y == 0).sum(), (y == 1).sum()) >= MIN_CLASS
+    m.fallback = best_threshold(score, labels) if enough(labels) else 0.5
     for lang in set(langs):
-        own = langs == lang
-        if own.sum() >= 20:
-            m.thresholds[lang] = best_threshold(score[own], labels[own], m.fallback)
+        if enough(labels[langs == lang]):
+            m.thresholds[lang] = best_threshold(score[langs == lang], labels[langs == lang])
 
 
-def best_threshold(score: np.ndarray, labels: np.ndarray, otherwise: float) -> float:
-    if not len(labels) or labels.min() == labels.max():
-        return otherwise
+def best_threshold(score: np.ndarray, labels: np.ndarray) -> float:
     order = np.argsort(-score, kind="stable")
     s, hits = score[order], np.cumsum(labels[order])
     f1 = 2 * hits / (np.arange(1, len(s) + 1) + labels.sum())
