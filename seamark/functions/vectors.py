@@ -53,12 +53,15 @@ def decode_vector(values: pd.Series) -> pd.Series:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Arrow list<float> column to a float64 matrix of unit rows (no Python object per row)."""
+    """Arrow list<float> column to a float64 matrix of unit rows (no Python object per row); all rows must be as long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0)
     rows = len(column)
+    sizes = np.diff(column.offsets.to_numpy()) if rows and hasattr(column, "offsets") else np.zeros(0, int)
+    if column.null_count or (len(sizes) and sizes.min() != sizes.max()):
+        raise ValueError(f"DIMENSION_MISMATCH: vectors of {sizes.min()} to {sizes.max()} values, {column.null_count} missing")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     grid = flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
     lengths = np.linalg.norm(grid, axis=1, keepdims=True) if rows else np.ones((0, 1))

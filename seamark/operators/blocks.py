@@ -9,7 +9,6 @@ from seamark.functions.running import last_before, running_sum
 from seamark.operators.chunking import (PASSAGE_DDL, SECTION_CHARS, SECTION_JOIN, Unit, explode_texts, fixed_passages,
                                         pack_units, sentence_units)
 from seamark.profiles import TextPreparation
-from seamark.sources.files import MAX_FILE_BYTES
 
 TITLE_LEVEL, DEEPEST_LEVEL = 0, 9
 
@@ -110,22 +109,12 @@ def _units_of_blocks(lines: DataFrame) -> DataFrame:
     return whole.unionByName(sentences)
 
 
-def within_file_limit(lines: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lines of documents up to the file limit, outcomes of larger ones): the refusal of the upload check, applied to
-    the extracted text. It bounds what one packing task can be given."""
-    sizes = lines.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("__bytes"))
-    large = sizes.where(F.col("__bytes") > max_bytes).select("doc_id")
-    outcomes = large.select("doc_id", F.lit("INPUT_TOO_LARGE").alias("error_code"))
-    return lines.join(large, "doc_id", "left_anti"), outcomes
-
-
 def prepare_blocks(blocks: DataFrame, cfg: TextPreparation) -> DataFrame:
     """Passages of block documents: doc_id, start, end, section, content.
 
     Packing never crosses a section, so a run of blocks in one section is the unit of parallel work.
     """
-    lines, _ = within_file_limit(flatten_blocks(blocks))
-    placed = block_offsets(lines)
+    placed = block_offsets(flatten_blocks(blocks))
     if cfg.strategy != "structure":
         return _fixed_blocks(placed, cfg)
     units = _units_of_blocks(section_paths(placed))

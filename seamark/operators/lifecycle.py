@@ -138,17 +138,24 @@ def promotable(revisions: DataFrame, members: DataFrame, segments: DataFrame) ->
                               .when(F.col("missing") > 0, "INDEX_INCOMPLETE").otherwise("promotable"))
 
 
-def promote(revisions: DataFrame, stores: DataFrame, revision_id: str) -> tuple[DataFrame, DataFrame]:
-    """(revisions, stores) with a promotable revision active; the one before stays ready, so promoting it rolls back."""
-    target = revisions.where((F.col("revision_id") == revision_id) & (F.col("state") == "ready")).select(
-        "store_id", F.col("revision_id").alias("new_revision"))
+def promote(revisions: DataFrame, stores: DataFrame, verdicts: DataFrame,
+            revision_ids: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(revisions, stores, outcomes) with the given revisions active where their verdict allows it.
+
+    ``verdicts`` are rows of :func:`promotable`; name one revision per store. The revision before stays ready, so promoting
+    it again rolls back. A revision that is not ready or not complete changes nothing, and its outcome is the code.
+    """
+    asked = verdicts.where(F.col("revision_id").isin(revision_ids)).select("revision_id", "store_id", "verdict")
+    outcomes = asked.select("revision_id", F.when(F.col("verdict").isin("promotable", "active"), "active")
+                            .otherwise(F.col("verdict")).alias("outcome"))
+    target = asked.where("verdict = 'promotable'").select("store_id", F.col("revision_id").alias("new_revision"))
     joined = revisions.join(target, "store_id", "left")
     state = (F.when(F.col("revision_id") == F.col("new_revision"), "active")
              .when(F.col("new_revision").isNotNull() & (F.col("state") == "active"), "ready").otherwise(F.col("state")))
     new_revisions = joined.withColumn("state", state).select(*revisions.columns)
     new_stores = stores.join(target, "store_id", "left").withColumn(
         "active_revision_id", F.coalesce("new_revision", "active_revision_id")).select(*stores.columns)
-    return new_revisions, new_stores
+    return new_revisions, new_stores, outcomes
 
 
 def unshared_sources(store_files: DataFrame, stores: DataFrame, files: DataFrame, store_id: str) -> DataFrame:

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_PAGE = 200  # fixed value
+SEGMENT_PAGE, MAX_SEGMENT_PAGE = 100, 500  # fixed values
 
 
 def encode_cursor(created_at: str, row_id: str) -> str:
@@ -39,10 +40,12 @@ def next_cursor(rows: list, limit: int, row_id: str = "id") -> str | None:
     return encode_cursor(str(last["created_at"]), str(last[row_id]))
 
 
-def segments_page(segments: DataFrame, version_id: str, from_ordinal: int = 0, limit: int = 50) -> DataFrame:
-    """Segments of one version from an ordinal on."""
+def segments_page(segments: DataFrame, version_id: str, from_ordinal: int = 0, limit: int = SEGMENT_PAGE) -> DataFrame:
+    """Segments of one version from an ordinal on; one row more than the page tells whether there is more."""
+    if not 1 <= limit <= MAX_SEGMENT_PAGE:
+        raise ValueError(f"limit accepts 1 to {MAX_SEGMENT_PAGE}")
     rows = segments.where((F.col("version_id") == version_id) & (F.col("ordinal") >= from_ordinal))
-    return rows.orderBy("profile_id", "ordinal").limit(min(limit, MAX_PAGE) + 1)
+    return rows.orderBy("profile_id", "ordinal").limit(limit + 1)
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

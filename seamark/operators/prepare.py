@@ -93,8 +93,9 @@ def prepare(files: DataFrame, profile: Profile, pages: DataFrame | None = None,
     failed_text = decoded.where("error_code is not null").select("version_id", "error_code")
     unknown = head.where(~F.col("media_type").isin(KNOWN_TYPES) | F.col("media_type").isNull()).select(
         "version_id", F.lit("FORMAT_UNSUPPORTED").alias("error_code"))
-    silent = (head.where(F.col("media_type").isin(PAGE_TYPES + BLOCK_TYPES + AUDIO_TYPES + VIDEO_TYPES))
+    silent = (head.where(F.col("media_type").isin(TEXT_TYPES + PAGE_TYPES + BLOCK_TYPES + AUDIO_TYPES + VIDEO_TYPES))
               .join(segments.select("version_id"), "version_id", "left_anti")
+              .join(failed_text.select("version_id"), "version_id", "left_anti")
               .select("version_id", F.lit("EMPTY_CONTENT").alias("error_code")))
     outcomes = failed_text.unionByName(unknown).unionByName(silent).withColumn("retryable", F.lit(False))
     return segments, outcomes

@@ -8,8 +8,8 @@ OPEN_STATES = ["queued", "running"]
 TERMINAL_STATES = ["completed", "completed_with_errors", "failed", "cancelled"]
 
 
-def store_stats(members: DataFrame, versions: DataFrame, segments: DataFrame, profile_id: str) -> DataFrame:
-    """Per store: files, source bytes, segments, segments by modality (a map)."""
+def store_stats(stores: DataFrame, members: DataFrame, versions: DataFrame, segments: DataFrame, profile_id: str) -> DataFrame:
+    """Per live store: files, source bytes, segments, segments by modality (a map); zeros for a store without members."""
     sizes = members.join(versions.select("version_id", "size"), "version_id").groupBy("store_id").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").alias("source_bytes"))
     # count per version first: the join then carries one row per (version, modality)
@@ -19,7 +19,9 @@ def store_stats(members: DataFrame, versions: DataFrame, segments: DataFrame, pr
           .agg(F.sum("n").alias("n")).groupBy("store_id").agg(
               F.sum("n").alias("segments"),
               F.map_from_entries(F.sort_array(F.collect_list(F.struct("modality", "n")))).alias("by_modality")))
-    return sizes.join(by, "store_id", "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("files", "source_bytes", "segments")}
+    live = stores.where(F.col("deleted_at").isNull()).select("store_id")
+    return live.join(sizes, "store_id", "left").join(by, "store_id", "left").withColumns(zero)
 
 
 def store_summary(stores: DataFrame, members: DataFrame, segments: DataFrame, profile_id: str) -> DataFrame:

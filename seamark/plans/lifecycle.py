@@ -83,12 +83,18 @@ def promotable_query(t):
     return promotable(t.revisions, t.members, t.segments)
 
 
-@query("promote", """
-SELECT revision_id, CASE WHEN store_id = 'src10' AND state = 'active' THEN 'ready' ELSE state END AS state FROM revisions
-WHERE revision_id <> 'r2-src1' AND revision_id <> 'r1-src1' UNION ALL SELECT 'r2-src1', 'active' UNION ALL SELECT 'r1-src1', 'ready'""".replace(
-    "CASE WHEN store_id = 'src10' AND state = 'active' THEN 'ready' ELSE state END AS state", "state"))
+_WANTED = ["r2-src1", "r2-src10", "r2-src4", "r2-src13", "r1-src2", "r2-v_gone"]  # refused, active and promoted ones
+
+
+@query("promote", f"""WITH {_PROMOTABLE}, asked AS (SELECT * FROM verdicts WHERE revision_id IN ({", ".join(map(repr, _WANTED))})),
+moved AS (SELECT store_id, revision_id AS fresh FROM asked WHERE verdict = 'promotable')
+SELECT r.revision_id, CASE WHEN r.revision_id = m.fresh THEN 'active' WHEN m.fresh IS NOT NULL AND r.state = 'active' THEN 'ready'
+  ELSE r.state END AS state, CASE WHEN a.verdict IN ('promotable', 'active') THEN 'active' ELSE a.verdict END AS outcome
+FROM revisions r LEFT JOIN moved m USING (store_id) LEFT JOIN asked a USING (revision_id)""")
 def promote_query(t):
-    return promote(t.revisions, t.stores, "r2-src1")[0].select("revision_id", "state")
+    verdicts = promotable(t.revisions, t.members, t.segments)
+    after, _, outcomes = promote(t.revisions, t.stores, verdicts, _WANTED)
+    return after.select("revision_id", "state").join(outcomes, "revision_id", "left")
 
 
 @query("unshared_sources", """

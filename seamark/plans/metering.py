@@ -141,16 +141,15 @@ HOUR = 3600
 RULES = [
     Rule("purchases_high", [(Signal("purchase"), ">", 40.0)], 1),
     Rule("clicks_busy", [(Signal("click", "average", 6), ">", 60.0), (Signal("view", "average", 6), ">", 20.0)], 2),
-    Rule("signups_jump", [(Signal("signup", "delta", 12, {"bucket": "[01]"}), ">", 10.0)]),
-    Rule("errors_share", [(Signal("error", "rate", 6, {"bucket": "0"}), ">", 0.2)], 1, Signal("error", "rate", 6)),
+    Rule("signups_jump", [(Signal("signup", "delta", 12, {"bucket": "[01]"}, summed=True), ">", 10.0)]),
+    Rule("errors_share", [(Signal("error", "rate", 6, {"bucket": "0"}, summed=True), ">", 0.2)], 1, Signal("error", "rate", 6, summed=True)),
 ]
 
 
 @query("alerts", f"""
 WITH m AS (SELECT event_type AS name, user_id % 4 AS bucket, CAST(floor(epoch(ts) / {HOUR}) AS BIGINT) AS step, ts, value FROM events),
 s AS (SELECT name, bucket, step, arg_max(value, ts) AS value FROM m GROUP BY ALL),
-tot AS (SELECT name, step, sum(value) AS v FROM s GROUP BY ALL),
-avg6 AS (SELECT name, step, avg(v) OVER (PARTITION BY name ORDER BY step RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS a FROM tot),
+avg6 AS (SELECT name, bucket, step, avg(value) OVER (PARTITION BY name, bucket ORDER BY step RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS a FROM s),
 low AS (SELECT step, sum(value) AS v FROM s WHERE name = 'signup' AND bucket IN (0, 1) GROUP BY ALL),
 grown AS (SELECT *, coalesce(CASE WHEN value >= lag(value) OVER w THEN value - lag(value) OVER w WHEN lag(value) OVER w IS NOT NULL THEN value
   END, 0) AS g FROM s WINDOW w AS (PARTITION BY name, bucket ORDER BY step)),
@@ -159,14 +158,14 @@ rate AS (SELECT step, sum(v) OVER (ORDER BY step RANGE BETWEEN 5 PRECEDING AND C
 rate0 AS (SELECT step, sum(v) OVER (ORDER BY step RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) / (6 * {HOUR}) AS r FROM
   (SELECT step, sum(g) AS v FROM grown WHERE name = 'error' AND bucket = 0 GROUP BY step)),
 state AS (
-  SELECT 'purchases_high' AS rule, 1 AS hold, step, v AS value, v > 40 AS holds FROM tot WHERE name = 'purchase'
-  UNION ALL SELECT 'clicks_busy', 2, c.step, c.a, c.a > 60 AND v.a > 20 FROM avg6 c JOIN avg6 v ON v.step = c.step AND v.name = 'view'
-    WHERE c.name = 'click'
-  UNION ALL SELECT 'signups_jump', 0, step, d, d > 10 FROM (SELECT step, v - first_value(v) OVER (ORDER BY step RANGE BETWEEN 12 PRECEDING
+  SELECT 'purchases_high' AS rule, bucket, 1 AS hold, step, value, value > 40 AS holds FROM s WHERE name = 'purchase'
+  UNION ALL SELECT 'clicks_busy', c.bucket, 2, c.step, c.a, c.a > 60 AND v.a > 20 FROM avg6 c JOIN avg6 v ON v.step = c.step
+    AND v.bucket = c.bucket AND v.name = 'view' WHERE c.name = 'click'
+  UNION ALL SELECT 'signups_jump', NULL, 0, step, d, d > 10 FROM (SELECT step, v - first_value(v) OVER (ORDER BY step RANGE BETWEEN 12 PRECEDING
     AND CURRENT ROW) AS d FROM low)
-  UNION ALL SELECT 'errors_share', 1, step, q, q > 0.2 FROM (SELECT r.step, coalesce(r0.r, 0) / greatest(r.r, 1e-9) AS q FROM rate r
+  UNION ALL SELECT 'errors_share', NULL, 1, step, q, q > 0.2 FROM (SELECT r.step, coalesce(r0.r, 0) / greatest(r.r, 1e-9) AS q FROM rate r
     LEFT JOIN rate0 r0 ON r0.step = r.step))
-SELECT rule, step, round(value, 4) AS value, hold + 1 = sum(holds::INT) OVER (PARTITION BY rule ORDER BY step RANGE BETWEEN hold PRECEDING
+SELECT rule, coalesce('{{"bucket":"' || bucket || '"}}', '') AS series, step, round(value, 4) AS value, hold + 1 = sum(holds::INT) OVER (PARTITION BY rule, bucket ORDER BY step RANGE BETWEEN hold PRECEDING
   AND CURRENT ROW) AS firing FROM state""")
 def alerts(t):
     metrics = t.raw("events").select("ts", F.col("event_type").alias("name"), F.create_map(

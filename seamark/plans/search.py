@@ -265,5 +265,5 @@ SELECT m.store_id, count(*) AS lines, CAST(0 AS BIGINT) AS off_norm, CAST(0 AS B
 FROM members m JOIN p1 USING (version_id) GROUP BY m.store_id""")
 def check_export_query(t):
     export = export_segments(t.members, t.p1, t.files, t.versions)
-    expected = store_stats(t.members, t.versions, t.segments, "p1").select("store_id", "segments")
+    expected = store_stats(t.stores, t.members, t.versions, t.segments, "p1").select("store_id", "segments")
     return check_export(export, expected)

@@ -157,11 +157,12 @@ def restrict_scope(t):
 WITH z AS (SELECT store_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS source_bytes FROM members m JOIN versions v
            ON v.version_id = m.version_id GROUP BY ALL),
 b AS (SELECT store_id, modality, count(*) AS n FROM members JOIN p1 USING (version_id) GROUP BY ALL)
-SELECT store_id, files, source_bytes, CAST(coalesce(sum(n), 0) AS BIGINT) AS segments,
-  string_agg(modality || '=' || n, ',' ORDER BY modality) AS by_modality FROM z LEFT JOIN b USING (store_id) GROUP BY ALL""")
+SELECT store_id, coalesce(files, 0) AS files, coalesce(source_bytes, 0) AS source_bytes, CAST(coalesce(sum(n), 0) AS BIGINT) AS segments,
+  string_agg(modality || '=' || n, ',' ORDER BY modality) AS by_modality
+FROM (SELECT store_id FROM stores WHERE deleted_at IS NULL) LEFT JOIN z USING (store_id) LEFT JOIN b USING (store_id) GROUP BY ALL""")
 def store_stats_query(t):
     pairs = F.transform(F.array_sort(F.map_entries("by_modality")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return store_stats(t.members, t.versions, t.segments, "p1").withColumn("by_modality", F.array_join(pairs, ","))
+    return store_stats(t.stores, t.members, t.versions, t.segments, "p1").withColumn("by_modality", F.array_join(pairs, ","))
 
 
 @query("store_summary", """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seamark.operators.metering import (gib_months, latency_histogram, month_totals, quota_report, route_pattern)
 from seamark.plans.bindings import ntz
-from seamark.streaming.alerts import OPERATING_RULES, evaluate_alerts
+from seamark.streaming.alerts import trailing, OPERATING_RULES, evaluate_alerts
 from seamark.streaming.liveness import lease_seconds, silent_sources
 
 GIB = 1073741824
@@ -103,3 +103,21 @@ def test_operating_rules(spark, case):
     base = int(start.replace(tzinfo=dt.timezone.utc).timestamp()) // 60
     got = {(r.rule, r.step - base): r.firing for r in evaluate_alerts(metrics, rules).collect()}
     assert {k: got.get(k, False) for k in wanted} == wanted
+
+
+def test_rules_look_at_each_series(spark):
+    """One of two instances down fires; three half-busy instances do not add up to a busy one."""
+    start = dt.datetime(2024, 1, 1)
+    samples = [("up", {"job": "api", "instance": "a"}, 1.0), ("up", {"job": "api", "instance": "b"}, 0.0),
+               *[("inference_busy", {"instance": i}, 0.4) for i in "abc"], *[("inference_waiting", {"instance": i}, 2.0) for i in "abc"]]
+    rows = [(start + dt.timedelta(minutes=m), name, labels, v) for name, labels, v in samples for m in range(30)]
+    metrics = spark.createDataFrame(rows, "ts timestamp_ntz, name string, labels map<string,string>, value double")
+    rules = [r for r in OPERATING_RULES if r.name in ("ApiDown", "InferenceSaturated")]
+    firing = {(r.rule, r.series) for r in evaluate_alerts(metrics, rules).where("firing").collect()}
+    assert firing == {("ApiDown", '{"instance":"b","job":"api"}')}
+
+
+def test_windows_cross_blocks(spark):
+    rows = spark.range(20_000).select(F.lit("x").alias("series"), (F.col("id") * 2).alias("step"), (F.col("id") % 7).alias("v"))
+    got = trailing(rows, ["series"], 9, "s", lambda w: F.sum("v").over(w)).orderBy("step").collect()
+    assert len(got) == 20_000 and all(r.s == sum((r.step // 2 - k) % 7 for k in range(5) if r.step // 2 >= k) for r in got)

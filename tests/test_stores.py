@@ -150,8 +150,13 @@ def test_promotion_and_rollback(spark):
     assert {r.revision_id: (r.missing, r.verdict) for r in promotable(revisions, members, segments).collect()} == {
         "r1": (0, "active"), "r2": (0, "promotable"), "r3": (1, "INDEX_INCOMPLETE"), "r4": (2, "INDEX_NOT_READY")}
     stores = spark.createDataFrame([("s", "r1")], "store_id string, active_revision_id string")
-    after, store = promote(revisions, stores, "r2")
+    after, store, outcome = promote(revisions, stores, promotable(revisions, members, segments), ["r2"])
+    assert [tuple(r) for r in outcome.collect()] == [("r2", "active")]
     assert {r.revision_id: r.state for r in after.collect()} == {"r1": "ready", "r2": "active", "r3": "ready", "r4": "building"}
     assert store.first().active_revision_id == "r2"
-    back, store = promote(after, store, "r1")
+    for refused, code in (("r3", "INDEX_INCOMPLETE"), ("r4", "INDEX_NOT_READY")):
+        same, unmoved, outcome = promote(after, store, promotable(after, members, segments), [refused])
+        assert sorted(map(tuple, same.collect())) == sorted(map(tuple, after.collect()))
+        assert unmoved.first().active_revision_id == "r2" and outcome.first().outcome == code
+    back, store, _ = promote(after, store, promotable(after, members, segments), ["r1"])
     assert {r.revision_id: r.state for r in back.collect()}["r1"] == "active" and store.first().active_revision_id == "r1"
