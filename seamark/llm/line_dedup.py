@@ -74,8 +74,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return asking.join(chunks, ["key", "chunk"]).where(near).select("id", F.xxhash64(F.lit(1), "line").alias("id2")).distinct()
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
-    """``docs`` with repeated and nearly repeated lines taken out of ``text``, and n_lines, n_exact, n_near.
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, prefix: str = "") -> DataFrame:
+    """``docs`` with repeated and nearly repeated lines taken out of ``text``, and ``prefix`` n_lines, n_exact, n_near.
 
     Of equal lines the first in the order of doc_id and position stays; of nearly equal ones the shorter, or of equal
     length the one that sorts first, and its text decides for all its copies. Lines under ``EXACT_FROM`` characters always
@@ -91,13 +91,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
                                                F.sum(F.col("near").cast("int")).alias("__near")).withColumnsRenamed(
         {"doc_id": "__id", "tie": "__tie"})
     own = F.col(doc_id).eqNullSafe(F.col("__id")) & (document_key(F.col(text)) == F.col("__tie"))
-    met = docs.drop("n_lines", "n_exact", "n_near").join(kept, own, "left").withColumn("__lines", F.split(text, "\n"))
+    met = docs.drop(*(prefix + n for n in ("n_lines", "n_exact", "n_near"))).join(kept, own, "left").withColumn("__lines", F.split(text, "\n"))
     short = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.length(F.get(F.col("__lines"), i)) < EXACT_FROM)
     staying = F.array_sort(F.concat(short, F.coalesce("__kept", F.array().cast("array<int>"))))
     placed = met.withColumn("__stay", F.when(F.col(text).isNotNull(), staying))
     return placed.withColumns({
         text: F.array_join(F.transform("__stay", lambda i: F.get(F.col("__lines"), i)), "\n"),
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")),
-        "n_near": F.coalesce("__near", F.lit(0)).cast("int"),
-        "n_exact": F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines") - F.size("__stay") - F.coalesce("__near", F.lit(0))).cast("int"),
+        prefix + "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")),
+        prefix + "n_near": F.coalesce("__near", F.lit(0)).cast("int"),
+        prefix + "n_exact": F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines") - F.size("__stay") - F.coalesce("__near", F.lit(0))).cast("int"),
     }).drop("__id", "__tie", "__kept", "__near", "__lines", "__stay")

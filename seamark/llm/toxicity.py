@@ -258,11 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     return m
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", keep_text: bool = False,
+          prefix: str = "") -> DataFrame:
     """``docs``, without the text unless it is kept, with ``score`` (0 to 1), ``threshold`` of the row's language and ``toxic``.
 
     Only the text is an input of the score. Null and empty texts have the score of no words; repeated rows stay, each
-    with the same score; an empty table gives no rows; an unknown or missing language takes the general threshold.
+    with the same score; an empty table gives no rows; an unknown or missing language takes the general threshold. The new
+    columns have ``prefix`` before their names and replace columns of the same names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -271,13 +273,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang",
         bounds = w.offsets.to_numpy().astype(np.int64)
         return pa.array(shared.value.score(w.values.to_numpy(zero_copy_only=False), p.values.to_numpy(zero_copy_only=False), bounds))
 
-    taken = ("score", "threshold", "toxic") if keep_text else (text, "score", "threshold", "toxic")
-    others = [c for c in docs.columns if c not in taken]
+    new = [prefix + n for n in ("score", "threshold", "toxic")]
+    others = [c for c in docs.columns if c not in (new if keep_text else [text, *new])]
     limit = F.lit(model.fallback)
     for name, value in sorted(model.thresholds.items()):
         limit = F.when(F.col(lang) == name, F.lit(value)).otherwise(limit) if lang in docs.columns and name else limit
-    out = with_hashed_words(docs.select(*others, *([] if keep_text else [text])), text, keep_text).select(*others, scored("__w", "__p").alias("score"))
-    return out.withColumn("threshold", limit).withColumn("toxic", F.col("score") >= F.col("threshold"))
+    out = with_hashed_words(docs.select(*others, *([] if keep_text else [text])), text, keep_text).select(*others, scored("__w", "__p").alias(new[0]))
+    return out.withColumn(new[1], limit).withColumn(new[2], F.col(new[0]) >= F.col(new[1]))
 
 
 def held_out(doc_id: Column) -> Column:
