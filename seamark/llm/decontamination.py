@@ -31,8 +31,16 @@ def _rotated(x: Column, bits: int) -> Column:
     return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
 
 
+def candidate_hash(hashes: Column, at: Column, k: int) -> Column:
+    """A cheaper hash of ``k`` words for hits that are compared word by word later: its bits from 7 k on mix all words."""
+    out = F.get(hashes, at)
+    for j in range(1, k):
+        out = out.bitwiseXOR(F.shiftleft(F.get(hashes, at + j), 7 * j))
+    return out
+
+
 def gram_hash(hashes: Column, at: Column, k: int) -> Column:
-    """A hash of ``k`` words from the hashes of single words."""
+    """A hash of ``k`` words from the hashes of single words; all of its bits depend on all words."""
     out = F.get(hashes, at)
     for j in range(1, k):
         out = out.bitwiseXOR(_rotated(F.get(hashes, at + j), (j * 13) % 64))
@@ -43,7 +51,7 @@ def fingerprints(rows: DataFrame, keep: list[str], window: int = WINDOW, k: int
     """(keep..., hash, place) from a column ``words``: the winnowed grams of every text of at least ``window`` words."""
     span = window - k + 1
     hashed = rows.where(F.size("words") >= window).select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    grams = hashed.select(*keep, F.transform(_range(F.size("h") - k + 1), lambda i: gram_hash(F.col("h"), i, k).bitwiseAND(
+    grams = hashed.select(*keep, F.transform(_range(F.size("h") - k + 1), lambda i: candidate_hash(F.col("h"), i, k).bitwiseAND(
         ~PLACE).bitwiseOR(i.cast("bigint"))).alias("g"))
     least = F.array_distinct(F.transform(_range(F.size("g") - span + 1), lambda i: F.array_min(F.slice("g", i + 1, span))))
     return grams.select(*keep, F.explode(least).alias("f")).select(
