@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from seamark.llm.common import document_key, literal_rows
+from seamark.llm.common import document_key, literal_rows, shared_table
 from seamark.llm.decontamination import _range, gram_hash, words_of
 
 K = 3
@@ -65,7 +65,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: l
         "doc_id", "tie", F.posexplode(F.transform(_range(F.size("h") - K + 1), lambda i: gram_hash(F.col("h"), i, K))).alias("i", "g"))
     hits = grams.join(fixed, "g").select("doc_id", "tie", "template", "label", "phrase", "n", "i", (F.col("i") - F.col("j")).alias("diagonal"))
     own = ["doc_id", "tie", "template", "label", "phrase", "n"]
-    votes = hits.groupBy(*own, "diagonal").agg(F.countDistinct("i").alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    votes = shared_table(hits.groupBy(*own, "diagonal").agg(F.countDistinct("i").alias("votes"), F.min("i").alias("lo"),
+                                                            F.max("i").alias("hi")), "votes")  # hits only, read twice
     placed = votes.where("phrase and votes = n").select("doc_id", "tie", "template", "label", "phrase", F.col("lo").alias("start"),
                                                         (F.col("hi") + K).alias("end"), F.lit(1.0).alias("cover"))
     along = W.partitionBy("doc_id", "tie", "template").orderBy("lo", "diagonal")
