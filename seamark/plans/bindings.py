@@ -88,11 +88,11 @@ class Tables:
 
     @cached_property
     def segments(self) -> DataFrame:
-        """One segment per embedded document in profile p1, and in p2 for every third."""
-        d = self.docs.join(self.raw("embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+        """One segment per document in profile p1, and in p2 for every third; a document without a vector is text."""
+        d = self.docs.join(self.raw("embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
         profile = F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("p1"), F.lit("p2"))).otherwise(
             F.array(F.lit("p1"))))
-        modality = (F.when(F.col("label") <= 5, "text").when(F.col("label") <= 7, "image")
+        modality = (F.when(F.col("label").isNull() | (F.col("label") <= 5), "text").when(F.col("label") <= 7, "image")
                     .when(F.col("label") == 8, "audio").otherwise("video"))
         d = d.withColumn("profile_id", profile).withColumn("modality", modality)
         is_text = F.col("modality") == "text"
@@ -286,9 +286,9 @@ segments AS (
          CASE WHEN modality = 'text' THEN text END AS content, CAST(n_chars // 4 AS INTEGER) AS token_count,
          CAST(embedding AS DOUBLE[]) AS embedding, label, doc_id
   FROM (SELECT *, unnest(CASE WHEN doc_id % 3 = 0 THEN ['p1', 'p2'] ELSE ['p1'] END) AS profile_id
-        FROM (SELECT d.*, e.embedding, e.label, CASE WHEN label <= 5 THEN 'text' WHEN label <= 7 THEN 'image'
+        FROM (SELECT d.*, e.embedding, e.label, CASE WHEN label IS NULL OR label <= 5 THEN 'text' WHEN label <= 7 THEN 'image'
                      WHEN label = 8 THEN 'audio' ELSE 'video' END AS modality
-              FROM docs d JOIN embeddings e ON e.vec_id = d.doc_id))),
+              FROM docs d LEFT JOIN embeddings e ON e.vec_id = d.doc_id))),
 p1 AS (SELECT * FROM segments WHERE profile_id = 'p1'),
 views AS ({_views_sql()}),
 stores AS (

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seamark.operators.embedding import Embedder, embed, reuse_by_content
 from seamark.operators.lifecycle import publish, publish_members, resolve_versions
-from seamark.operators.prepare import check_budget, model_inputs, prepare, with_ordinals
+from seamark.operators.prepare import (AUDIO_TYPES, BLOCK_TYPES, IMAGE_TYPES, PAGE_TYPES, TEXT_TYPES, VIDEO_TYPES, check_budget,
+                                       model_inputs, prepare, with_ordinals)
 from seamark.profiles import Profile
 from seamark.session import cut_lineage
 from seamark.sources.catalog import Catalog
@@ -29,9 +31,14 @@ def new_files(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFr
 
 
 def ingest_batch(catalog: Catalog, arrived: DataFrame, workspace_id: str, store_id: str, profile: Profile,
-                 make_embedder: Callable[[], Embedder]) -> DataFrame:
+                 make_embedder: Callable[[], Embedder] | dict[str, Callable[[], Embedder]],
+                 decode: Callable[[DataFrame], dict[str, DataFrame]] | None = None) -> DataFrame:
     """Ingest one set of files and return their outcomes (path, outcome).
 
+    ``make_embedder`` serves text, or is one per modality. ``decode`` turns (version_id, media_type, content) into the
+    tables ``pages``, ``blocks``, ``media`` and ``transcript`` of :func:`prepare`. What no decoder or no embedder serves
+    ends as FORMAT_UNSUPPORTED and is not published.
+
     Every id comes from content and place, and rows already in the catalogue are left out of each append; so a batch
     that is delivered again after a crash adds nothing. The file pointers are flipped last: readers see the old or the
     new complete version.
@@ -55,12 +62,22 @@ def ingest_batch(catalog: Catalog, arrived: DataFrame, workspace_id: str, store_
                               profile.profile_id)
     todo = new_versions.join(copied.select("version_id"), "version_id", "left_anti")
     bodies = todo.join(accepted.select("sha256", "content").dropDuplicates(["sha256"]), "sha256")
-    cut, failed = prepare(bodies.select("version_id", "media_type", "content"), profile)
+    embedders = make_embedder if isinstance(make_embedder, dict) else {"text": make_embedder}
+    sources = bodies.select("version_id", "media_type", "content")
+    parts = decode(sources) if decode else {}
+    read = [*TEXT_TYPES, *IMAGE_TYPES, *(PAGE_TYPES if "pages" in parts else []), *(BLOCK_TYPES if "blocks" in parts else []),
+            *(AUDIO_TYPES + VIDEO_TYPES if "media" in parts else [])]
+    cut, failed = prepare(sources.where(F.col("media_type").isin(read)), profile, **parts)
+    unread = sources.where(~F.coalesce(F.col("media_type").isin(read), F.lit(False))).select(
+        "version_id", F.lit("FORMAT_UNSUPPORTED").alias("error_code"))
     inputs = check_budget(model_inputs(with_ordinals(cut, profile.profile_id), new_versions, profile),
                           limit=profile.max_tokens)
-    over = inputs.where("error_code is not null").select("version_id", "error_code").dropDuplicates(["version_id"])
-    good = inputs.join(over, "version_id", "left_anti")
-    texts = embed(good.where("modality = 'text'").drop("error_code", "tokens", "filename"), make_embedder)
+    unserved = F.when(~F.col("modality").isin(sorted(embedders)), F.lit("FORMAT_UNSUPPORTED"))
+    over = inputs.select("version_id", F.coalesce("error_code", unserved).alias("error_code")).where(
+        "error_code is not null").dropDuplicates(["version_id"])
+    good = inputs.join(over, "version_id", "left_anti").drop("error_code", "tokens", "filename")
+    made_vectors = [embed(good.where(F.col("modality") == m), maker) for m, maker in sorted(embedders.items())]
+    texts = reduce(DataFrame.unionByName, made_vectors)
     location = F.struct("start", "end", "page", "section", "start_seconds", "end_seconds", "kind", "type")
     fresh = texts.withColumn("location", location)
     shape = ["segment_id", "version_id", "profile_id", "ordinal", "modality", "location", "content", "token_count",
@@ -69,7 +86,7 @@ def ingest_batch(catalog: Catalog, arrived: DataFrame, workspace_id: str, store_
     known = segments.select("segment_id")
     catalog.append("segments", ready.join(known, "segment_id", "left_anti").withColumn("workspace_id", ws))
 
-    bad = cut_lineage(failed.select("version_id", "error_code").unionByName(over))
+    bad = cut_lineage(failed.select("version_id", "error_code").unionByName(unread).unionByName(over).dropDuplicates(["version_id"]))
     published = new_versions.join(bad, "version_id", "left_anti")
     catalog.append("file_versions", published.join(versions.select("version_id"), "version_id", "left_anti"))
     born = plan.where("action = 'new_file'").join(bad, "version_id", "left_anti").dropDuplicates(["file_id"]).select(
@@ -94,11 +111,14 @@ def ingest_batch(catalog: Catalog, arrived: DataFrame, workspace_id: str, store_
 
 
 def stream_ingest(spark: SparkSession, folder: str, catalog: Catalog, workspace_id: str, store_id: str,
-                  profile: Profile, make_embedder: Callable[[], Embedder], checkpoint: str,
-                  available_now: bool = True) -> StreamingQuery:
-    """Start the continuous job. Each micro-batch is one publication."""
+                  profile: Profile, make_embedder: Callable[[], Embedder] | dict[str, Callable[[], Embedder]], checkpoint: str,
+                  available_now: bool = True, decode: Callable[[DataFrame], dict[str, DataFrame]] | None = None,
+                  on_outcomes: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Start the continuous job. Each micro-batch is one publication; ``on_outcomes`` gets (path, outcome) of each."""
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(catalog, batch, workspace_id, store_id, profile, make_embedder)
+        outcomes = ingest_batch(catalog, batch, workspace_id, store_id, profile, make_embedder, decode)
+        if on_outcomes:
+            on_outcomes(outcomes, batch_id)
 
     writer = new_files(spark, folder).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -157,3 +157,24 @@ def test_redelivered_batch_adds_nothing(spark):
     assert [catalog.read(t, "w").count() for t in ("files", "file_versions", "segments", "store_files")] == [1, 2, 2, 1]
     newest = catalog.read("file_versions", "w").where("version_no = 2").first().version_id
     assert catalog.read("files", "w").first().current_version_id == newest
+
+
+def test_ingest_serves_modalities_or_says_so(spark):
+    from seamark.streaming.ingest import ingest_batch
+    arrived = spark.createDataFrame([("x.png", 3, b"png"), ("a.txt", 5, b"Hello"), ("only.md", 6, b"# Only"), ("p.pdf", 3, b"pdf")],
+                                    "path string, size long, content binary")
+    text_only = Catalog(spark, fresh() + "/cat")
+    out = {r.path: r.outcome for r in ingest_batch(text_only, arrived, "w", "s", PROFILES["p3"], lambda: HashEmbedder(8)).collect()}
+    assert out == {"x.png": "FORMAT_UNSUPPORTED", "a.txt": "succeeded", "only.md": "EMPTY_CONTENT", "p.pdf": "FORMAT_UNSUPPORTED"}
+    assert text_only.read("files", "w").count() == 1
+
+    def decode(sources):
+        pdf = sources.where("media_type = 'application/pdf'")
+        return {"pages": pdf.selectExpr("version_id as doc_id", "1 as page", "'A page of text.' as text", "cast(null as string) as ocr_text")}
+
+    both = Catalog(spark, fresh() + "/cat")
+    makers = {"text": lambda: HashEmbedder(8), "image": lambda: HashEmbedder(8)}
+    out = {r.path: r.outcome for r in ingest_batch(both, arrived, "w", "s", PROFILES["p3"], makers, decode).collect()}
+    assert out == {"x.png": "succeeded", "a.txt": "succeeded", "only.md": "EMPTY_CONTENT", "p.pdf": "succeeded"}
+    segments = both.read("segments", "w")
+    assert {r.modality for r in segments.collect()} >= {"text", "image"} and segments.where("embedding is null").count() == 0
