@@ -29,45 +29,46 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.length("line") >= EXACT_FROM)
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line of this length; the last segments take the remainder."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    short = F.greatest(F.lit(0), F.lit(i) - (parts - longer))
-    return base * i + short, base + (F.lit(i) >= parts - longer).cast("int")
+def segment_keys(line: Column, length: Column, edits: int) -> Column:
+    """array<struct<key, stored>>: hashes under which a line looks for lines of its length and shorter ones, null where the
+    place lies outside the line; under those marked ``stored`` it can be found itself, too.
 
+    Segment i of ``edits`` + 1 even ones (the last ones take the remainder) of a line with ``fewer`` characters less can
+    stand unchanged in this line only at a few shifts: not further than the edits before it, nor than those after it.
+    """
+    parts = edits + 1
+    looks = [(fewer, i, shift) for fewer in range(parts) for i in range(parts)
+             for shift in range(max(-i, fewer - (edits - i)), min(i, fewer + (edits - i)) + 1)]
+    fixed = F.array(*(F.struct(F.lit(f).alias("fewer"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for f, i, s in looks))
 
-def segment_keys(line: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Hashes under which a line is stored (one per segment), and further ones under which it looks for shorter lines.
+    # A function over a fixed array keeps the generated code small enough to be compiled.
+    def key(look: Column) -> Column:
+        n = length - look["fewer"]
+        whole = parts - n % parts  # segments before the longer ones
+        base = F.floor(n / parts).cast("int")
+        start = base * look["i"] + F.greatest(F.lit(0), look["i"] - whole) + look["shift"]
+        size = base + (look["i"] >= whole).cast("int")
+        fits = (start >= 0) & (start + size <= length)
+        return F.struct(F.when(fits, F.xxhash64(n, look["i"], F.substring(line, start + 1, size))).alias("key"),
+                        ((look["fewer"] == 0) & (look["shift"] == 0)).alias("stored"))
 
-    A line also looks under the hashes it is stored under, for others of its length.
-    """
-    parts, length, stored, looked = edits + 1, F.length(line), [], []
-    for fewer in range(edits + 1):
-        for i in range(parts):
-            start, size = _segment(length - fewer, i, parts)
-            low, high = max(-i, fewer - (edits - i)), min(i, fewer + (edits - i))
-            for shift in range(low, high + 1):
-                fits = (start + shift >= 0) & (start + shift + size <= length)
-                key = F.when(fits, F.xxhash64(length - fewer, F.lit(i), F.substring(line, start + shift + 1, size)))
-                (stored if fewer == 0 and shift == 0 else looked).append(key)
-    return stored, looked
+    return F.transform(fixed, key)
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, id2) of the lines within ``edits`` edits of a shorter line, or of one as long that sorts before them."""
-    long = lines.where(F.length("line") >= NEAR_FROM).select("line", F.xxhash64("line").alias("id"))
-    stored, looked = segment_keys(F.col("line"), edits)
-    keys = long.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*stored, *looked)))).alias("key"))
-    shared = shared_table(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "segments")
-    roles = [F.struct(k.alias("key"), F.lit(r).alias("stored")) for ks, r in ((stored, True), (stored, False), (looked, False)) for k in ks]
-    met = long.select("id", "line", F.inline(F.array(*roles))).join(broadcast_below(shared, SMALL), "key")
+    long = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id")).where(F.col("n") >= NEAR_FROM)
+    keys = segment_keys(F.col("line"), F.col("n"), edits)
+    spread = long.select("id", F.inline(keys)).where("key is not null")
+    shared = shared_table(spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "segments")
+    met = long.select("id", "line", F.inline(keys)).join(broadcast_below(shared, SMALL), "key")
     held = shared_table(met.groupBy("key", "stored", "id").agg(F.first("line").alias("line")), "candidates")
-    counts = held.groupBy("key").agg(F.sum(F.col("stored").cast("int")).alias("n"), F.count("*").alias("m")).where("n > 0 and m > 2").select(
+    counts = held.groupBy("key").agg(F.sum(F.col("stored").cast("int")).alias("n"), F.count("*").alias("m")).where("n > 0 and m > 1").select(
         "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = held.join(counts, "key")
     chunks = dealt.where("stored").groupBy("key", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk")).agg(
         F.collect_list("line").alias("others"))  # about CHUNK lines
-    asking = dealt.where("not stored").select("key", "id", "line", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    asking = dealt.select("key", "id", "line", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     n = F.length("line")
     near = F.exists("others", lambda o: ((F.length(o) < n) | ((F.length(o) == n) & (o < F.col("line")))) & (
         n - F.length(o) <= edits) & (F.levenshtein(o, F.col("line"), edits) >= 0))
