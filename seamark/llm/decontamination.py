@@ -61,8 +61,12 @@ def fingerprints(rows: DataFrame, keep: list[str], window: int = WINDOW, k: int
 def short_grams(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
     """(keep..., hash, place, length): all grams of the given lengths, for items shorter than a window."""
     hashed = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    grams = F.flatten(F.array(*(F.transform(_range(F.size("h") - n + 1), lambda i, n=n: F.struct(
-        gram_hash(F.col("h"), i, n).alias("hash"), i.alias("place"), F.lit(n).alias("length"))) for n in lengths)))
+
+    def of(n: int) -> Column:
+        return F.transform(_range(F.size("h") - n + 1), lambda i: F.struct(
+            gram_hash(F.col("h"), i, n).alias("hash"), i.alias("place"), F.lit(n).alias("length")))
+
+    grams = F.flatten(F.array(*map(of, lengths)))
     return hashed.select(*keep, F.inline(grams))
 
 
