@@ -5,6 +5,7 @@ import itertools
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -46,20 +47,22 @@ def empty(spark, docs):
     return spark.createDataFrame([], docs.schema)
 
 
-def reference_ids(text, end):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary())
     t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    return t
+
+
+def reference_ids(text, end):
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_encoder_equals_whole_texts():
     rng = np.random.default_rng(3)
     parts = ["a", "B", " ", "  ", "\n", "'s", "1", ".", "é", " the", "\t", " ", "!", "　", "😀", "\x1c"]
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
-    e = Encoder(vocabulary())
+    t, e = tokenizer(), Encoder(vocabulary())
     for _ in range(3000):
         text = "".join(rng.choice(parts, rng.integers(0, 12)))
         assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
