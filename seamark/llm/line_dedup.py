@@ -30,11 +30,12 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """array<struct<key, stored>>: hashes under which a line looks for lines of its length and shorter ones, null where the
-    place lies outside the line; under those marked ``stored`` it can be found itself, too.
+    """array<struct<key, stored>>: hashes under which a line looks for lines of its length and shorter ones; under those
+    marked ``stored`` it can be found itself, too.
 
     Segment i of ``edits`` + 1 even ones (the last ones take the remainder) of a line with ``fewer`` characters less can
-    stand unchanged in this line only at a few shifts: not further than the edits before it, nor than those after it.
+    stand unchanged in this line only at a few shifts: not further than the edits before it, nor than those after it. As
+    segments are longer than ``edits`` from ``NEAR_FROM`` characters on, all these places lie inside the line.
     """
     parts = edits + 1
     looks = [(fewer, i, shift) for fewer in range(parts) for i in range(parts)
@@ -45,11 +46,10 @@ def segment_keys(line: Column, length: Column, edits: int) -> Column:
     def key(look: Column) -> Column:
         n = length - look["fewer"]
         whole = parts - n % parts  # segments before the longer ones
-        base = F.floor(n / parts).cast("int")
+        base = F.call_function("div", n, F.lit(parts)).cast("int")
         start = base * look["i"] + F.greatest(F.lit(0), look["i"] - whole) + look["shift"]
         size = base + (look["i"] >= whole).cast("int")
-        fits = (start >= 0) & (start + size <= length)
-        return F.struct(F.when(fits, F.xxhash64(n, look["i"], F.substring(line, start + 1, size))).alias("key"),
+        return F.struct(F.xxhash64(n, look["i"], F.substring(line, start + 1, size)).alias("key"),
                         ((look["fewer"] == 0) & (look["shift"] == 0)).alias("stored"))
 
     return F.transform(fixed, key)
@@ -57,12 +57,14 @@ def segment_keys(line: Column, length: Column, edits: int) -> Column:
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, id2) of the lines within ``edits`` edits of a shorter line, or of one as long that sorts before them."""
+    if NEAR_FROM - edits < (edits + 1) ** 2:
+        raise ValueError("segments must be longer than the edits: compare longer lines or allow fewer edits")
     long = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id")).where(F.col("n") >= NEAR_FROM)
     keys = segment_keys(F.col("line"), F.col("n"), edits)
-    spread = long.select("id", F.inline(keys)).where("key is not null")
+    spread = long.select("id", F.inline(keys))
     shared = shared_table(spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "segments")
     met = long.select("id", "line", F.inline(keys)).join(broadcast_below(shared, SMALL), "key")
-    held = shared_table(met.groupBy("key", "stored", "id").agg(F.first("line").alias("line")), "candidates")
+    held = shared_table(met.select("key", "stored", "id", "line").distinct(), "candidates")
     counts = held.groupBy("key").agg(F.sum(F.col("stored").cast("int")).alias("n"), F.count("*").alias("m")).where("n > 0 and m > 1").select(
         "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = held.join(counts, "key")
