@@ -12,7 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seamark.llm import decontamination, licenses, line_dedup, mpeg, packing, sharding, simhash, token_store, toxicity, url_rules
+import corpus_pipeline
+from seamark.llm import decontamination, licenses, line_dedup, mpeg, near_texts, packing, sharding, simhash, token_store, toxicity, url_rules
+from seamark.llm.common import shared_table
 from seamark.llm.components import components
 from seamark.llm.queries import vocabulary
 from seamark.llm.tokens import Encoder
@@ -399,3 +401,57 @@ def test_scores_do_not_depend_on_stretches(monkeypatch):
     whole = m.score(w, p, bounds)
     monkeypatch.setattr(toxicity, "SPAN", 64)
     assert np.allclose(whole, m.score(w, p, bounds), atol=1e-6)
+
+
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UP))
+    return {" ".join(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar_groups(rows):
+    """Per row the smallest place reachable through pairs with 5-word Jaccard >= 0.8; rows without words stay alone."""
+    sets, label = [shingles(x) for x in rows], list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    """Copies with words changed at spread places, around the similarity 0.8, and one family larger than a cell."""
+    rng, rows = np.random.default_rng(11), [x for _, x, _ in ROWS if x is None or len(x) < 9999]
+    for k in range(60):
+        base = sentence(100 + k, int(rng.integers(3, 200))).split()
+        for _ in range(3):
+            x = base.copy()
+            for at in rng.integers(0, len(x), max(1, int(len(x) * rng.choice([0.01, 0.02, 0.04])))):
+                x[at] = f"new{rng.integers(0, 10 ** 6)}"
+            rows.append(" ".join(x))
+    base = sentence(999, 150).split()
+    return rows + [" ".join(base[:k] + ["other"] + base[k + 1:]) for k in range(0, 150, 4)]
+
+
+def test_near_groups_against_brute_force(spark, near_rows):
+    df = spark.createDataFrame(list(enumerate(near_rows)), "doc_id bigint, text string")
+    want, groups = similar_groups(near_rows), defaultdict(list)
+    for cell in (8, 256):
+        sets = shared_table(near_texts.shingle_sets(df, "doc_id", "text", 5), "shingles")
+        roots = {r.node: r.root for r in components(near_texts.similar_links(sets, cell=cell)).collect()}
+        got = {r.doc_id: roots.get(r.node, r.node) for r in sets.collect()}
+        names = {}
+        assert [k if got[k] is None else names.setdefault(got[k], k) for k in range(len(near_rows))] == want
+    for r in near_texts.near_groups(df).collect():
+        groups[r.group if r.group is not None else f"none{r.doc_id}"].append(r.doc_id)
+    assert {k: min(g) for g in groups.values() for k in g} == dict(enumerate(want)) and len(set(want)) < len(want)
+    assert near_texts.near_groups(df.limit(0)).count() == 0
+
+
+def test_near_dedup_stage_finds_similarity_of_four_fifths(spark, near_rows):
+    """Most of these copies differ in more than three bits of their fingerprints."""
+    rows = [(k, x, "en", "s", 1) for k, x in enumerate(near_rows) if shingles(x)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    label = similar_groups([r[1] for r in rows])
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == [rows[i][0] for i in sorted(set(label))]
