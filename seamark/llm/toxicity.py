@@ -11,18 +11,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from seamark.llm.common import NOT_A_WORD, shared_table, split_words
+from seamark.llm.common import NOT_A_WORD, broadcast_below, shared_table, split_words
 
 BUCKETS, PREFIX = 1 << 15, 4
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 GAP = 3                     # empty rows after each text, so that no window reaches into the next
 SPAN = 100_000              # words at a time
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 4500   # labelled rows learned from, at most
-MIN_CLASS = 10              # calibration rows of each class that a threshold needs
+MIN_CLASS = 10              # rows of each class, not trained on, that a threshold needs
+STEP = 0.01                 # of the logit by which scores are counted for thresholds
+SMALL = 500_000             # labels that may be broadcast
 MAX_WORDS = 5_000_000       # words of those rows altogether, at most
 VISITS, BATCH, RATE, DROP = 24_000, 32, 0.1, 0.2   # texts shown in training, repeats included, if they are enough for 4 to 12 rounds
 
@@ -165,12 +168,8 @@ def _adagrad(value: np.ndarray, grad: np.ndarray, memory: np.ndarray) -> None:
     value -= RATE * grad / np.sqrt(memory)
 
 
-def calibrate(m: Model, logits: np.ndarray, labels: np.ndarray, langs: np.ndarray, prior: float) -> None:
-    """Platt scaling at the labelled share of toxic rows, then per language the threshold with the best F1.
-
-    Where a range of thresholds is equally good, its middle is taken. A language with under ``MIN_CLASS`` rows of a class
-    keeps the threshold of all languages, and that one is 0.5 if there are no more rows altogether.
-    """
+def calibrate(m: Model, logits: np.ndarray, labels: np.ndarray, prior: float) -> None:
+    """Platt scaling at the labelled share of toxic rows."""
     share = labels.mean() if len(labels) else 0.5
     weight = np.where(labels == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
     # Targets a little inside 0 and 1, as in Platt's method, keep the slope finite on separable rows.
@@ -185,28 +184,56 @@ def calibrate(m: Model, logits: np.ndarray, labels: np.ndarray, langs: np.ndarra
         move = np.clip(np.linalg.solve(hess, grad), -1, 1)
         a, b = a - move[0], b - move[1]
     m.scale, m.shift = float(max(a, 1e-3)), float(b)
-    score = 1 / (1 + np.exp(-np.clip(m.scale * logits + m.shift, -30, 30)))
-    enough = lambda y: min((y == 0).sum(), (y == 1).sum()) >= MIN_CLASS
-    m.fallback = best_threshold(score, labels) if enough(labels) else 0.5
-    for lang in set(langs):
-        if enough(labels[langs == lang]):
-            m.thresholds[lang] = best_threshold(score[langs == lang], labels[langs == lang])
-
-
-def best_threshold(score: np.ndarray, labels: np.ndarray) -> float:
-    order = np.argsort(-score, kind="stable")
-    s, hits = score[order], np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + labels.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
+
+
+def set_thresholds(m: Model, counts: pd.DataFrame) -> None:
+    """Per language the threshold with the best F1, from labelled rows counted by ``lang``, ``y``, ``trained`` and ``bin``.
+
+    Rows that were trained on have no say but in how many rows of a class there are: the others stand for them, too, so
+    that the share of toxic rows is that of all labelled ones. A language with under ``MIN_CLASS`` rows of a class that were
+    not trained on keeps the threshold of all languages, and that one is 0.5 if there are no more rows altogether.
+    """
+    def best(rows: pd.DataFrame) -> float | None:
+        every, fresh = rows.groupby("y")["n"].sum(), rows[~rows["trained"]]
+        judged = fresh.groupby("y")["n"].sum()
+        if min(judged.get(0, 0), judged.get(1, 0)) < MIN_CLASS:
+            return None
+        weight = fresh["n"] * fresh["y"].map(every / judged)
+        return best_threshold(fresh["bin"].to_numpy(), fresh["y"].to_numpy(), weight.to_numpy())
+
+    general = best(counts)
+    m.fallback = 0.5 if general is None else general
+    found = {lang: best(rows) for lang, rows in counts.groupby("lang")}
+    m.thresholds.update({lang: value for lang, value in found.items() if value is not None})
+
+
+def best_threshold(bins: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> float:
+    """Where a range of thresholds is equally good, its middle is taken; all rows of a bin are on the same side."""
+    steps, where = np.unique(-bins, return_inverse=True)
+    rows, hits = (np.cumsum(np.bincount(where, w, len(steps))) for w in (weight, weight * labels))
+    f1 = 2 * hits / (rows + hits[-1])
     best = np.flatnonzero(f1 == f1.max())
-    below = s[best[-1] + 1] if best[-1] + 1 < len(s) else 0.0
-    return float((s[best[0]] + below) / 2)
+    edge = lambda b: 1 / (1 + np.exp(-b * STEP))
+    below = edge(1 - steps[best[-1] + 1]) if best[-1] + 1 < len(steps) else 0.0
+    return float((edge(-steps[best[0]]) + below) / 2)
+
+
+def count_scores(docs: DataFrame, known: DataFrame, trained: DataFrame, model: Model, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(lang, y, trained, bin, n): the labelled rows of ``docs`` by steps of their score's logit."""
+    flagged = shared_table(known.join(F.broadcast(trained.withColumn("__t", F.lit(True))), doc_id, "left"), "known")
+    langs = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(doc_id), F.col(text), langs.alias("__lang")).join(broadcast_below(flagged, SMALL), doc_id)
+    scored = score(rows.drop(doc_id), model, text, prefix="__s_").select("__lang", "__y", "__t", F.least(F.greatest("__s_score", F.lit(1e-12)), F.lit(
+        1 - 1e-12)).alias("q"))
+    return scored.groupBy(F.coalesce("__lang", F.lit("")).alias("lang"), F.col("__y").cast("int").alias("y"), F.coalesce("__t", F.lit(False)).alias(
+        "trained"), F.floor(F.ln(F.col("q") / (1 - F.col("q"))) / STEP).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
         max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_words: int = MAX_WORDS) -> Model:
     """Learn from the labelled rows given: per class the first ``max_*`` rows in the order of a hash of their ids, and of
-    those as many as have ``max_words`` words together (a longer text alone is left out). Every fifth calibrates only.
+    those as many as have ``max_words`` words together (a longer text alone is left out). Every fifth of them scales the
+    scores only. The thresholds come from all labelled rows given that the classifier has not seen, scored in Spark.
 
     Without rows of both classes the model scores every text with the share of toxic labels.
     """
@@ -215,8 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
     drawn = [known.where(F.col("__y") == y).orderBy(F.xxhash64(doc_id), doc_id).limit(n) for y, n in ((1, max_positive), (0, max_negative))]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most max_positive + max_negative rows of two numbers
-    langs = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(doc_id), F.col(text), langs.alias("__lang")).join(chosen, doc_id)
+    rows = docs.select(F.col(doc_id), F.col(text)).join(chosen, doc_id)
     stored = shared_table(with_hashed_words(rows, text).withColumn("__n", F.size("__w")), "labelled")
     sizes = stored.select(doc_id, "__n").orderBy(F.xxhash64(doc_id), doc_id).collect()
     taken, total = [], 0
@@ -226,12 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
             taken.append(r[doc_id])
     learned = stored.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], f"{doc_id} bigint")), doc_id) if len(
         taken) < len(sizes) else stored
-    got = learned.select(doc_id, "__y", "__lang", "__w", "__p").toArrow()
+    got = learned.select(doc_id, "__y", "__w", "__p").toArrow()
     ids = got.column(doc_id).to_numpy()
     order = np.argsort(ids, kind="stable")
     got = got.take(pa.array(order)).combine_chunks()
     y = got.column("__y").to_numpy().astype(int)
-    tongue = np.array([x or "" for x in got.column("__lang").to_pylist()])
 
     def arrays(name: str) -> list[np.ndarray]:
         lists = got.column(name).combine_chunks()
@@ -254,7 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     m.scale, m.shift = 1.0, 0.0
     raw = m.score(np.concatenate([w for w, _ in some]), np.concatenate([p for _, p in some]), bounds)
     raw = np.log(np.clip(raw, 1e-12, 1 - 1e-12) / (1 - np.clip(raw, 1e-12, 1 - 1e-12)))
-    calibrate(m, raw, y[judged], tongue[judged], prior)
+    calibrate(m, raw, y[judged], prior)
+    seen = np.sort(ids)[~held] if held.any() else []  # of too few rows to spare some, all are judged
+    trained = docs.sparkSession.createDataFrame([(int(i),) for i in seen], f"{doc_id} {known.schema[doc_id].dataType.simpleString()}").distinct()
+    set_thresholds(m, count_scores(docs, known, trained, m, doc_id, text, lang).toPandas())
     return m
 
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -392,6 +393,37 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, toxicity.fit(df.limit(0), labels.limit(0))).count() == len(ROWS)
 
 
+def test_thresholds_cover_all_labelled_rows(spark):
+    """Caps of the classifier's sample change neither the share of toxic rows nor the rows that thresholds are taken from."""
+    rng, rows = np.random.default_rng(6), []
+    for k in range(1500):
+        toxic, lang = k % 10 == 0, "fr" if k % 40 < 2 else "en"
+        noisy = k % 10 and k % 12 == 1
+        w = [*rng.choice(WORDS, 20), *["vilex"] * toxic, *["vilex"] * noisy]
+        rows.append((k, " ".join(w), lang, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, y int")
+    labels = df.select("doc_id", F.col("y").alias("toxic"))
+    m = toxicity.fit(df, labels, max_positive=60, max_negative=80)
+    scores = toxicity.score(df, m).toPandas()
+    # Half of what says "vilex" is toxic, so F1 is best where those rows are flagged; too few toxic French rows are in the sample.
+    assert set(m.thresholds) == {"en", "fr"}
+    known = scores.merge(labels.toPandas().rename(columns={"toxic": "y_"}), on="doc_id")
+    for lang, threshold in [*m.thresholds.items(), (None, m.fallback)]:
+        rows = known if lang is None else known[known.lang == lang]
+        f1 = lambda t: 2 * ((rows.score >= t) & (rows.y_ == 1)).sum() / max(1, (rows.score >= t).sum() + (rows.y_ == 1).sum())
+        assert f1(threshold) >= max(f1(t) for t in rows.score) - 0.03
+
+
+def test_threshold_by_counts_stands_for_trained_rows():
+    counts = pd.DataFrame([("en", 1, True, 0, 900), ("en", 1, False, 300, 80), ("en", 1, False, -100, 20), ("en", 0, False, -100, 50),
+                           ("en", 0, False, -400, 850), ("fr", 1, False, 200, 9), ("fr", 0, False, -200, 500)], columns=["lang", "y", "trained", "bin", "n"])
+    m = toxicity.Model.new(np.random.default_rng(0))
+    toxicity.set_thresholds(m, counts)
+    edge = lambda b: 1 / (1 + np.exp(-b * toxicity.STEP))
+    # 1,000 toxic rows, of which 200 lie in a bin with 50 clean ones: flagging that bin is better only with the trained rows' weight.
+    assert m.thresholds == {"en": pytest.approx((edge(-100) + edge(-399)) / 2)}
+
+
 def test_scores_do_not_depend_on_stretches(monkeypatch):
     m = toxicity.Model.new(np.random.default_rng(4))
     rng = np.random.default_rng(5)
