@@ -487,3 +487,13 @@ def test_near_dedup_stage_finds_similarity_of_four_fifths(spark, near_rows):
     label = similar_groups([r[1] for r in rows])
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
     assert got == [rows[i][0] for i in sorted(set(label))]
+
+
+def test_near_dedup_stage_tells_rows_apart_by_text(spark):
+    """Ids that two texts share, copies without an id, repeated rows, texts without words."""
+    a, b, c = sentence(1, 60), sentence(2, 60), sentence(3, 60)
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (3, None), (4, None), (4, None), (5, ""), (6, " "), (None, None), (7, "once"), (7, "again")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    want = {(1, a), (2, b), (None, c), (3, None), (4, None), (5, ""), (6, " "), (None, None), (7, "once"), (7, "again")}
+    assert sorted(got, key=str) == sorted(want, key=str)
