@@ -132,6 +132,14 @@ def _around(docs: DataFrame, key: list[Column], places: DataFrame, text: str) ->
     return met.dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", words_of(F.col("__text")).alias("words"), "places")
 
 
+def covered_words(spans: DataFrame) -> DataFrame:
+    """(doc_id, tie, n_hit): how many words of a document lie in its spans."""
+    return spans.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s")).select(
+        "doc_id", "tie", F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, s: F.struct(
+            (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).alias("n"),
+            F.greatest(a["to"], s["end"]).alias("to")))["n"].cast("bigint").alias("n_hit"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, tie, n_words, n_hit, n_items, items_sha256, contaminated.
@@ -141,10 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     result; an empty benchmark hits nothing; other columns are not read.
     """
     spans = shared_table(find_spans(docs, benchmark, doc_id, text, item_id, item_text, window, k), "spans")
-    covered = spans.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s")).select(
-        "doc_id", "tie", F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda a, s: F.struct(
-            (a["n"] + F.greatest(s["end"] - F.greatest(s["start"], a["to"]), F.lit(0))).alias("n"),
-            F.greatest(a["to"], s["end"]).alias("to")))["n"].cast("bigint").alias("n_hit"))
+    covered = covered_words(spans)
     theirs = item_windows(benchmark_windows(benchmark, item_id, item_text, window), window)
     listed = spans.select("doc_id", "tie", "window_text").distinct().join(theirs, "window_text").groupBy("doc_id", "tie").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"))

@@ -497,3 +497,14 @@ def test_near_dedup_stage_tells_rows_apart_by_text(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
     want = {(1, a), (2, b), (None, c), (3, None), (4, None), (5, ""), (6, " "), (None, None), (7, "once"), (7, "again")}
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_decontamination_stage_on_short_items(spark, tmp_path):
+    """A word or two of a short item take no document out; a full window, or a text that is mostly short items, do."""
+    common, answer, item = sentence(5, 2), "forty two is the answer", sentence(6, 14)
+    spark.createDataFrame([(1, common), (2, answer), (3, item), (4, WORDS[0])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"{sentence(20, 40)} {common} {WORDS[0]} {sentence(21, 40)}"), (2, f"{answer} {answer} or not"), (3, f"so {item[:item.rindex(' ')]} {sentence(22, 90)}"),
+            (4, f"{sentence(23, 30)} {answer}"), (None, answer), (5, None), (5, common), (5, sentence(24, 30))]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()}
+    assert got == {rows[i] for i in (0, 3, 5, 7)}
