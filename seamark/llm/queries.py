@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.llm import decontamination, licenses, line_dedup, mpeg, packing, sharding, simhash, token_store, toxicity, url_rules
+from seamark.llm import (centroids, decontamination, licenses, line_dedup, mpeg, packing, ranked_search, sharding, simhash, token_counts,
+                         token_store, toxicity, url_rules)
 from seamark.llm.common import literal_rows, shared_table, table
 from seamark.session import ship_package
 
@@ -181,3 +182,55 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _round_sql(k: int) -> str:
+    """Assignment to the centroids of round k - 1, and their means."""
+    return f"""
+    d{k} AS (SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM cells v JOIN c{k - 1} c USING (i) GROUP BY ALL),
+    a{k} AS (SELECT row, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM d{k} GROUP BY row),
+    m{k} AS (SELECT a.cluster, v.i, CAST(sum(v.x) AS BIGINT) AS s, count(*) AS n FROM a{k} a JOIN cells v USING (row) GROUP BY ALL),
+    c{k} AS (SELECT c.cluster, c.i, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x
+             FROM c{k - 1} c LEFT JOIN m{k} m ON m.cluster = c.cluster AND m.i = c.i),"""
+
+
+@query("op11_centroids", f"""
+    WITH kept AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT)) AS xs
+                  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+    cells AS (SELECT row, unnest(xs) AS x, unnest(range(64)) AS i FROM kept),
+    seeds AS (SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id), xs) - 1 AS cluster FROM kept WHERE vec_id IS NOT NULL
+              QUALIFY cluster < 16),
+    c0 AS (SELECT cluster, i, x FROM seeds JOIN cells USING (row)),
+    {_round_sql(1)}{_round_sql(2)}{_round_sql(3)}
+    d4 AS (SELECT v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM cells v JOIN c3 c USING (i) GROUP BY ALL),
+    a4 AS (SELECT row, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM d4 GROUP BY row),
+    digests AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+           CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+    FROM a4 JOIN kept USING (row) JOIN digests USING (cluster)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings"), 16, 3, 64))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = shared_table(token_counts.prefix_table(table(spark, sf_dir, "documents"), vocabulary()), "prefixes")
+    return token_counts.token_totals(stored).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+RANK_WORDS_SQL = """list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+    lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"""
+
+
+@query("op12_ranked_search", f"""
+    WITH d AS (SELECT doc_id, {RANK_WORDS_SQL} AS terms FROM documents WHERE text IS NOT NULL),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+    b AS (SELECT DISTINCT item_id, unnest(list_distinct({RANK_WORDS_SQL})) AS term FROM benchmark WHERE text IS NOT NULL),
+    tf AS (SELECT doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs),
+    scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+               FROM b JOIN tf USING (term) JOIN w USING (term), corpus GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
