@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from seamark.functions.metadata import literal
 from seamark.functions.text import STOP_WORDS, identifiers
 from seamark.schemas import LIMITS, STORE_DEFINITION
-from seamark.session import cut_lineage
 from seamark.sources.files import media_type
 
 EPOCH = "2024-01-01 00:00:00"
@@ -214,18 +213,12 @@ class Tables:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """One question per label: the mean vector of its embeddings, and the words of its document that names most
-        identifiers. Both come from the whole tables; there are as many questions as labels."""
-        e = self.raw("embeddings")
-        mean = (e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i")
-                .agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label")
-                .agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("ms"))
-                .select("label", F.transform("ms", lambda s: s["m"]).alias("embedding")))
-        d = self.raw("documents").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
-        words = d.groupBy("label").agg(F.max_by("text", F.struct(F.size(identifiers(F.col("text"))), "doc_id")).alias("text"))
-        asked = mean.join(words, "label").select(F.concat(F.lit("q"), F.col("label").cast("string")).alias("query_id"),
-                                                 "embedding", "text", F.col("label").alias("query_label"))
-        return cut_lineage(asked)  # one row per label; a question table is read by every branch of a search
+        """Questions that grow with the table: every embedding whose id is divisible by 100 asks with its vector and, where
+        there is one, with the words of its document."""
+        e = self.raw("embeddings").where("vec_id % 100 = 0")
+        asked = e.join(self.raw("documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+        return asked.select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding", "text",
+                            F.col("label").alias("query_label"))
 
     @cached_property
     def word_queries(self) -> DataFrame:
@@ -359,11 +352,8 @@ documents_ids AS (
     SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z0-9][\\w.\\-/]*'),
            lambda t: regexp_matches(t, '[0-9]') OR regexp_matches(t, '^[A-Z]{{2,}}[\\w\\-]*$')) AS found FROM documents)),
 queries AS (
-  SELECT 'q' || label AS query_id, embedding, text, label AS query_label FROM
-    (SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM
-      (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)
-    JOIN (SELECT label, text FROM documents_ids JOIN embeddings ON vec_id = doc_id
-          QUALIFY row_number() OVER (PARTITION BY label ORDER BY len(ids) DESC, doc_id DESC) = 1) USING (label)),
+  SELECT 'q' || vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS embedding, text, label AS query_label
+  FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0),
 word_queries AS (SELECT 'q' || doc_id AS query_id, text, ids FROM documents_ids WHERE len(ids) > 0),
 words AS (
   SELECT segment_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM (

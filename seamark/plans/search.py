@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from seamark.functions.text import identifiers
-from seamark.operators.ann import build_ivf, search_ann
+from seamark.operators.ann import build_index, search_lists
 from seamark.operators.evaluation import (check_export, compare_runs, eval_answers, eval_cross_modal, eval_hits, eval_recall)
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
@@ -90,15 +90,29 @@ def vector_topk_grid(t):
                                                                  F.round(1 - F.col("distance"), 6).alias("score"))
 
 
-@query("ann_topk")
+@query("ann_topk", f"""WITH {topk_sql("p1", 10)}
+SELECT query_id, segment_id, CAST(rank AS INTEGER) AS rank, round(1 - distance, 6) AS score, true AS certified FROM vec""")
 def ann_topk(t):
-    return search_ann(t.queries, build_ivf(t.p1, 16), 10, 12).select("query_id", "segment_id", "rank",
-                                                                    F.round(1 - F.col("distance"), 6).alias("score"))
+    """As many lists as a certified answer takes."""
+    return search_lists(t.queries, build_index(t.p1), 10).select("query_id", "segment_id", "rank", F.round(1 - F.col("distance"), 6).alias("score"),
+                                                                "certified")
+
+
+@query("ann_topk_filtered", f"""WITH {_FILTERED}, {topk_sql("shown", 10)}
+SELECT query_id, segment_id, CAST(rank AS INTEGER) AS rank, round(1 - distance, 6) AS score, true AS certified FROM vec""")
+def ann_topk_filtered(t):
+    """The lists of all segments, searched for those that pass the filter of a store."""
+    index = build_index(t.segments.where("profile_id = 'p1'"), keep=("version_id", "profile_id", "modality"))
+    own = t.members.where("store_id = 'v_top'")
+    hits = search_lists(t.queries, index, 10, within=lambda rows: eligible(rows, own, "p1", Filter({"lang": "en"}, "src"), ["text", "image"]))
+    return hits.select("query_id", "segment_id", "rank", F.round(1 - F.col("distance"), 6).alias("score"), "certified")
 
 
 @query("ann_recall")
 def ann_recall(t):
-    found = search_ann(t.queries, build_ivf(t.p1, 16), 10, 12)
+    """Recall of a search that stops at three quarters of the lists, certified or not."""
+    index = build_index(t.p1)
+    found = search_lists(t.queries, index, 10, probes=8, limit=3 * len(index.sizes) // 4)
     return eval_recall(found, search_exact(t.queries, t.p1, 10), 10)
 
 
@@ -205,12 +219,12 @@ def _results(t, hits):
 def _labels(t):
     """The expected file of a question is the one with the smallest path among those of its label."""
     paths = t.p1.join(t.versions.select("version_id", "file_id"), "version_id").join(t.files.select("file_id", "path"), "file_id")
-    best = paths.groupBy("label").agg(F.min("path").alias("expected_path"))
-    return best.select(F.concat(F.lit("q"), F.col("label").cast("string")).alias("query_id"), "expected_path")
+    best = paths.groupBy(F.col("label").alias("query_label")).agg(F.min("path").alias("expected_path"))
+    return t.queries.join(best, "query_label").select("query_id", "expected_path")
 
 
-_LABELS_SQL = """labels_of AS (SELECT 'q' || label AS query_id, min(path) AS expected_path FROM p1 JOIN versions v USING (version_id)
-  JOIN files f ON f.file_id = v.file_id GROUP BY label)"""
+_LABELS_SQL = """labels_of AS (SELECT query_id, expected_path FROM queries JOIN (SELECT label, min(path) AS expected_path FROM p1
+  JOIN versions v USING (version_id) JOIN files f ON f.file_id = v.file_id GROUP BY label) ON label = query_label)"""
 
 
 def hits_sql(run: str, name: str) -> str:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamark.functions.text import identifiers
-from seamark.operators.ann import build_ivf, load_index, save_index, search_ann
+from seamark.operators.ann import MIN_LIST, build_index, list_size, load_index, search_lists
 from seamark.operators.evaluation import compare_runs, eval_answers, eval_hits, eval_recall
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
@@ -72,33 +72,87 @@ def test_top_k_per_modality(spark, corpus):
         assert [m for _, m in mine] == [1, 1, 1, 2, 2, 2]
 
 
-def test_ann_recall_and_hot_list(spark, corpus, monkeypatch):
-    monkeypatch.setattr(vector_search, "CELL_SEGMENTS", 100)  # the list with the copies becomes several cells
+def nested(n, seed=11):
+    """Vectors in clouds of clouds: lists with small radii, as real embeddings have."""
+    rng = np.random.default_rng(seed)
+    tops = rng.normal(size=(12, DIMS))
+    subs = tops[rng.integers(0, 12, 60)] + 0.2 * rng.normal(size=(60, DIMS))
+    return (subs[rng.integers(0, 60, n)] + 0.03 * rng.normal(size=(n, DIMS))).astype(np.float32)
+
+
+def test_lists_follow_the_table(spark, corpus):
     _, _, _, segments = corpus
-    asked = frame(spark, [f"q{i}" for i in range(30)], vectors(30, 4), "query_id")
-    index = build_ivf(segments, 12)
-    assert index.segments.count() == 2000
-    recall = eval_recall(search_ann(asked, index, 10, 8), search_exact(asked, segments, 10), 10)
+    index = build_index(segments, size=100)
+    sizes = sorted(index.sizes.tolist())
+    assert sum(sizes) == 2000 and sizes[-1] >= 667 and sizes[-2] <= 100  # copies of one vector stay together
+    assert min(s for s in sizes if s) > 1 and index.levels <= 20
+    rows = index.rows.collect()
+    assert len({r.segment_id for r in rows}) == 2000
+    for r in rows:
+        x = np.array(r.embedding, float)
+        assert np.linalg.norm(x / np.linalg.norm(x) - index.centroids[r.list]) <= index.radii[r.list] + 1e-9
+    assert list_size(100, 8) == MIN_LIST and list_size(10 ** 10, 768) * 4_000_000 >= 10 ** 10 * 768
+
+
+def test_probes_by_bound_are_exact_when_certified(spark, corpus):
+    for matrix, ids in ((corpus[0], corpus[1]), (nested(3000), [f"n{i}" for i in range(3000)])):
+        segments = frame(spark, ids, matrix, "segment_id").repartition(5)
+        asked = np.concatenate([vectors(12, 4), matrix[:6]])
+        qids = [f"q{i}" for i in range(len(asked))]
+        queries, want = frame(spark, qids, asked, "query_id"), brute(asked, matrix, qids, ids, 10)
+        index = build_index(segments, size=60)
+        whole = search_lists(queries, index, 10, probes=2).collect()
+        assert {(r.query_id, r.segment_id, r["rank"]) for r in whole} == want and all(r.certified for r in whole)
+        part = search_lists(queries, index, 10, probes=2, limit=6).collect()
+        sure = {r.query_id for r in part if r.certified}
+        assert {(r.query_id, r.segment_id, r["rank"]) for r in part if r.certified} == {w for w in want if w[0] in sure}
+        assert all(sum(r.query_id == q for r in part) == 10 for q in qids)
+    assert sure  # clouds of clouds are certified without all lists
+
+
+def test_recall_of_a_limited_search(spark):
+    """Questions are all vectors whose number is divisible by 100."""
+    matrix = nested(4000, 12)
+    segments = frame(spark, [f"n{i}" for i in range(4000)], matrix, "segment_id")
+    asked = frame(spark, [f"q{i}" for i in range(0, 4000, 100)], matrix[::100], "query_id")
+    index = build_index(segments)
+    recall = eval_recall(search_lists(asked, index, 10, probes=4, limit=len(index.sizes) // 4), search_exact(asked, segments, 10), 10)
     assert recall.agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_filter_fills_k_from_lists(spark, monkeypatch):
+    from seamark.operators import ann
+    monkeypatch.setattr(ann, "SHIPPED_QUERIES", 4)  # several blocks of questions
+    matrix = nested(2500, 13)
+    ids, shelf = [f"n{i}" for i in range(2500)], ["rare" if i % 83 == 0 else "other" for i in range(2500)]
+    segments = frame(spark, ids, matrix, "segment_id", shelf=shelf)
+    asked, qids = np.concatenate([vectors(6, 14), matrix[:3]]), [f"q{i}" for i in range(9)]
+    keep = {i for i, s in zip(ids, shelf) if s == "rare"}
+    index, queries = build_index(segments, keep=("shelf",), size=50), frame(spark, qids, asked, "query_id")
+    rare = lambda rows: rows.where("shelf = 'rare'")
+    whole = search_lists(queries, index, 10, probes=1, within=rare).collect()
+    assert {(r.query_id, r.segment_id, r["rank"]) for r in whole} == brute(asked, matrix, qids, ids, 10, keep)
+    short = search_lists(queries, index, 10, probes=1, limit=1, within=rare).collect()
+    assert len(short) == 90 and {r.segment_id for r in short} <= keep  # filled, though not certified
+    assert len(search_lists(queries, index, 40, within=rare).collect()) == 9 * len(keep)  # fewer than k exist
+    assert search_lists(queries, index, 5, within=lambda rows: rows.where("false")).count() == 0
+    assert search_lists(queries.limit(0), index, 5).count() == 0
+
+
 def test_saved_index_answers_alike(spark, corpus):
     import tempfile
     _, _, _, segments = corpus
     asked = frame(spark, ["q0", "q1"], vectors(2, 5), "query_id")
-    index = build_ivf(segments, 6)
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/index"
-    save_index(index, folder)
-    rows = lambda i: sorted(map(str, search_ann(asked, i, 5, 2).collect()))
-    assert rows(load_index(spark, folder)) == rows(index)
+    index = build_index(segments, size=40, path=folder)
+    rows = lambda i: sorted(map(str, search_lists(asked, i, 5, probes=2, limit=3).collect()))
+    assert index.folders > 1 and rows(load_index(spark, folder)) == rows(index)
 
 
-def test_short_approximate_results_are_refilled(spark, corpus):
-    _, _, _, segments = corpus
-    asked = frame(spark, ["q0", "q1"], vectors(2, 5), "query_id")
-    few = segments.where("segment_id < 's00015'")
-    got = search_ann(asked, build_ivf(few, 5), 12, 1)
-    assert got.groupBy("query_id").count().where("count = 12").count() == 2
+def test_index_of_nothing(spark, corpus):
+    none = corpus[3].limit(0)
+    index = build_index(none)
+    assert len(index.sizes) == 1 and search_lists(frame(spark, ["q"], vectors(1), "query_id"), index, 3).count() == 0
 
 
 def test_filter_comes_before_ranking(spark):
