@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from seamark.profiles import TextPreparation
+from seamark.session import dealt
 
 # Cut points in order of preference, and the patterns of sentences, headings and table rules.
 CUT_POINTS = ("\n\n", "\n", ". ", " ")
@@ -212,7 +213,7 @@ def explode_texts(df: DataFrame, text: str, split: Callable[[str], list[tuple]],
             columns += [pa.array(list(v), kind) for v, (_, kind) in zip(values, fields)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(n for n, _ in fields)])
 
-    return df.mapInArrow(kernel, schema)
+    return dealt(df).mapInArrow(kernel, schema)
 
 
 def chunk_with(df: DataFrame, text: str, chunker: Callable[[str], list[Passage]]) -> DataFrame:

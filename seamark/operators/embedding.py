@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamark.functions.ids import segment_id
 from seamark.functions.vectors import cosine_distance, normalized, vector_error
+from seamark.session import dealt
 
 BATCH = 16  # fixed value: inputs per model call
 
@@ -62,7 +63,7 @@ def embed(df: DataFrame, make_embedder: Callable[[], Embedder], text: str = "inp
             yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(tokens, pa.int32())],
                                              names=[*rows.schema.names, "embedding", "token_count"])
 
-    return df.mapInArrow(kernel, f"{fields}, embedding array<float>, token_count int")
+    return dealt(df).mapInArrow(kernel, f"{fields}, embedding array<float>, token_count int")
 
 
 def validate_vectors(df: DataFrame, dims: int, column: str = "embedding") -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seamark.session import bounded
+from seamark.session import cut_lineage
 
-MAX_HITS = 100_000  # evidence rows, with their text, that may be broadcast
+MAX_HITS = 100_000  # hits, without their text, that may be broadcast
 
 
 def evidence(hits: DataFrame, segments: DataFrame, members: DataFrame, files: DataFrame,
@@ -17,14 +17,16 @@ def evidence(hits: DataFrame, segments: DataFrame, members: DataFrame, files: Da
     shrink a result. Every join keeps at most one row per hit, so with few hits (counted) each big table is scanned in
     place and the hits are broadcast; with many, joins shuffle.
     """
-    asked = bounded(hits, MAX_HITS)
+    asked = cut_lineage(hits)
     few = asked.count() <= MAX_HITS
     side = F.broadcast if few else (lambda rows: rows)
     alive = files.where(F.col("deleted_at").isNull()).select("file_id", "path", "metadata")
-    found = segments.select("segment_id", "version_id", "modality", "location", "content").join(asked, "segment_id")
+    found = segments.select("segment_id", "version_id", "modality", "location").join(side(asked), "segment_id")
     owned = members.select("file_id", "version_id").join(side(found), "version_id")
     lived = alive.join(side(owned), "file_id")
-    rows = versions.select("version_id", "version_no", "filename", "media_type").join(side(lived), "version_id")
+    named = versions.select("version_id", "version_no", "filename", "media_type").join(side(lived), "version_id")
+    # the text comes last and in its own row, so no broadcast carries it
+    rows = segments.select("segment_id", "content").join(side(named), "segment_id")
     is_text = F.col("modality") == "text"
     media_url = F.concat(F.lit("/files/"), F.col("file_id"), F.lit("/content?version_id="), F.col("version_id"))
     source = F.struct("file_id", "version_id", "version_no", "filename", "path", "media_type", "location", "metadata")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from seamark.functions.vectors import cosine_distance
-from seamark.operators.keyword import search_keyword, term_index
+from seamark.operators.keyword import search_keyword
 from seamark.operators.vector_search import search_exact
 from seamark.session import bounded
 
@@ -21,12 +21,11 @@ def depth_of(k: int) -> int:
     return max(4 * k, 40)
 
 
-def search_hybrid(queries: DataFrame, segments: DataFrame, k: int, postings: DataFrame | None = None,
-                  modalities: Sequence[str] | None = None,
+def search_hybrid(queries: DataFrame, segments: DataFrame, k: int, postings: DataFrame, modalities: Sequence[str] | None = None,
                   vector_search: Callable[[DataFrame, DataFrame, int], DataFrame] = search_exact) -> DataFrame:
     """Reciprocal rank fusion of vector and identifier rankings: (query_id, segment_id, distance, rrf, keyword_rank,
-    vector_rank, rank). ``segments`` are the eligible ones of the store; ``modalities`` limits both rankings only."""
-    postings = term_index(segments) if postings is None else postings
+    vector_rank, rank). ``segments`` are the eligible ones of the store and ``postings`` theirs in a stored index; ``modalities``
+    limits both rankings only."""
     n = depth_of(k)
     allowed = segments if modalities is None else segments.where(F.col("modality").isin(list(modalities)))
     by_vector = vector_search(queries, allowed, n).select("query_id", "segment_id", F.col("rank").alias("rk"),
@@ -52,14 +51,14 @@ def interleave(per_modality: DataFrame, k: int) -> DataFrame:
 
 
 def search_balanced(queries: DataFrame, segments: DataFrame, k: int, modalities: Sequence[str] = MODALITIES,
-                    with_text: bool = False) -> DataFrame:
-    """Rank inside each modality in one scan, then interleave, so no modality hides another. ``with_text``: the text
-    modality is ranked by the hybrid order of the queries' words."""
+                    postings: DataFrame | None = None) -> DataFrame:
+    """Rank inside each modality in one scan, then interleave, so no modality hides another. With the ``postings`` of a
+    stored index the text modality is ranked by the hybrid order of the queries' words."""
     shape = ["query_id", "segment_id", "modality", "distance", "modality_rank"]
-    plain = [m for m in modalities if not (with_text and m == "text")]
+    plain = [m for m in modalities if not (postings is not None and m == "text")]
     ranked = (search_exact(queries, segments.where(F.col("modality").isin(plain)), k, group="modality")
               .withColumnRenamed("rank", "modality_rank").select(*shape))
-    if with_text and "text" in modalities:
-        words = search_hybrid(queries, segments, k, modalities=["text"]).withColumn("modality", F.lit("text"))
+    if postings is not None and "text" in modalities:
+        words = search_hybrid(queries, segments, k, postings, ["text"]).withColumn("modality", F.lit("text"))
         ranked = ranked.unionByName(words.withColumnRenamed("rank", "modality_rank").select(*shape))
     return interleave(ranked, k)

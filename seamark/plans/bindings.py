@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seamark.functions.metadata import literal
 from seamark.functions.text import STOP_WORDS, identifiers
+from seamark.operators.term_index import open_term_index
 from seamark.schemas import LIMITS, STORE_DEFINITION
 from seamark.sources.files import media_type
 
@@ -220,6 +221,13 @@ class Tables:
         return asked.select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding", "text",
                             F.col("label").alias("query_label"))
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        """The stored term index of the passages of profile p1."""
+        index = open_term_index(self.spark, buckets=8)
+        index.add(self.p1)
+        return index.postings()
+
     @cached_property
     def word_queries(self) -> DataFrame:
         """Questions for the keyword side: every document asks with its own text."""

@@ -8,7 +8,7 @@ from seamark.operators.evaluation import (check_export, compare_runs, eval_answe
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
 from seamark.operators.hybrid import search_balanced, search_hybrid
-from seamark.operators.keyword import build_postings, search_keyword, selective_terms, term_index
+from seamark.operators.keyword import search_keyword, selective_terms
 from seamark.operators.statistics import store_stats
 from seamark.operators.vector_search import eligible, search_exact
 from seamark.plans.registry import query
@@ -124,17 +124,17 @@ def identifiers_query(t):
 @query("postings", """
 SELECT segment_id, term, array_to_string(list(pos ORDER BY pos), ',') AS positions FROM postings GROUP BY segment_id, term""")
 def postings(t):
-    return build_postings(t.p1).select("segment_id", "term", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return t.postings.select("segment_id", "term", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query("selective_terms", f"WITH {KEYWORD_SQL} SELECT query_id, token, passages FROM selective")
 def selective_terms_query(t):
-    return selective_terms(t.word_queries, t.p1, term_index(t.p1)).select("query_id", "token", "passages")
+    return selective_terms(t.word_queries, t.p1, t.postings).select("query_id", "token", "passages")
 
 
 @query("keyword_rank", f"WITH {KEYWORD_SQL} SELECT query_id, segment_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kw")
 def keyword_rank_query(t):
-    return search_keyword(t.word_queries, t.p1, term_index(t.p1), 40).withColumn("score", F.round("score", 6))
+    return search_keyword(t.word_queries, t.p1, t.postings, 40).withColumn("score", F.round("score", 6))
 
 
 _HYBRID = f"{topk_sql('p1', 40)}, {HYBRID_KEYWORD_SQL}, {fused_sql(10)}"
@@ -144,7 +144,7 @@ _HYBRID = f"{topk_sql('p1', 40)}, {HYBRID_KEYWORD_SQL}, {fused_sql(10)}"
 SELECT query_id, segment_id, CAST(rank AS INTEGER) AS rank, CAST(keyword_rank AS INTEGER) AS keyword_rank,
   CAST(vector_rank AS INTEGER) AS vector_rank, round(1 - distance, 6) AS score FROM hybrid""")
 def hybrid_rrf(t):
-    return search_hybrid(t.queries, t.p1, 10).select("query_id", "segment_id", "rank", "keyword_rank", "vector_rank",
+    return search_hybrid(t.queries, t.p1, 10, t.postings).select("query_id", "segment_id", "rank", "keyword_rank", "vector_rank",
                                                      F.round(1 - F.col("distance"), 6).alias("score"))
 
 
@@ -170,13 +170,13 @@ every AS (SELECT query_id, segment_id, modality, distance, mr FROM per WHERE mod
 SELECT query_id, segment_id, modality, CAST(mr AS INTEGER) AS modality_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY mr,
   distance, segment_id) AS INTEGER) AS rank FROM every QUALIFY rank <= 10""")
 def balanced_hybrid(t):
-    return search_balanced(t.queries, t.p1, 10, with_text=True).select("query_id", "segment_id", "modality", "modality_rank", "rank")
+    return search_balanced(t.queries, t.p1, 10, postings=t.postings).select("query_id", "segment_id", "modality", "modality_rank", "rank")
 
 
 def _evidence(t):
     """Evidence of the hybrid hits in all live files, whatever store they are in."""
     shown = t.versions.join(t.files.where("deleted_at is null").select("file_id"), "file_id", "left_semi")
-    return evidence(search_hybrid(t.queries, t.p1, 10), t.p1, shown, t.files, t.versions)
+    return evidence(search_hybrid(t.queries, t.p1, 10, t.postings), t.p1, shown, t.files, t.versions)
 
 
 _EVIDENCE = f"""{_HYBRID},
@@ -246,8 +246,7 @@ SELECT round(a.mrr, 6) AS mrr_a, round(b.mrr, 6) AS mrr_b, b.mrr >= a.mrr - 0.01
 def compare_runs_query(t):
     labels = _labels(t)
     a = eval_hits(_results(t, search_exact(t.queries, t.p1, 40)), labels, 40)
-    b = eval_hits(_results(t, search_hybrid(t.queries, t.p1, 40)
-                           .where("rank <= 40")), labels, 40)
+    b = eval_hits(_results(t, search_hybrid(t.queries, t.p1, 40, t.postings)), labels, 40)
     return compare_runs(a, b).select(F.round("mrr_a", 6).alias("mrr_a"), F.round("mrr_b", 6).alias("mrr_b"), "no_regression")
 
 

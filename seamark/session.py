@@ -77,3 +77,10 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """
     stored = cut_lineage(df)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores (one file may be one unsplittable part) is dealt to all of them
+    before Python works through its texts; larger tables stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -8,8 +8,9 @@ from seamark.operators.evaluation import compare_runs, eval_answers, eval_hits,
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
 from seamark.operators.hybrid import search_balanced, search_hybrid
-from seamark.operators.keyword import search_keyword, selective_terms, term_index
+from seamark.operators.keyword import search_keyword, selective_terms
 from seamark.operators import vector_search
+from seamark.operators.term_index import open_term_index
 from seamark.operators.vector_search import eligible, search_exact
 
 DIMS = 8
@@ -185,11 +186,35 @@ def passages(spark):
     return frame(spark, ids, vectors(len(ids), 8), "segment_id", content=list(PASSAGES.values()), modality=["text"] * len(ids))
 
 
+def indexed(spark, segments, **options):
+    index = open_term_index(spark, buckets=4, **options)
+    index.add(segments)
+    return index
+
+
+def test_term_index_grows_by_versions(spark):
+    """Batches are appended, replaced passages masked, counting by term moves no posting, and an index is opened again."""
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/terms"
+    rows = {"a-1": "The pump GX-18 and a pump", "b-1": "Nothing of GX note", "c-1": "", "d-1": None}
+    put = lambda index, texts: index.add(spark.createDataFrame(list(texts.items()), "segment_id string, content string"))
+    index = open_term_index(spark, folder, 4)
+    put(index, rows)
+    put(index, {"a-2": "Belts, not the pump"})
+    index.mask(spark.createDataFrame([("a-1",), ("a-1",)], "segment_id string"))
+    found = {(r.segment_id, r.term): r.positions for r in open_term_index(spark, folder, 4).postings().collect()}
+    assert found == {("b-1", "nothing"): [1], ("b-1", "gx"): [3], ("b-1", "note"): [4], ("a-2", "belts"): [1], ("a-2", "pump"): [4]}
+    table = spark.table(index._name)
+    assert table.where("term = 'pump'").count() == 2 and {r.positions[0] for r in table.where("segment_id = 'a-1' and term = '18'").collect()} == {4}
+    plan = table.groupBy("term").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
 def test_selective_terms_and_proximity(spark):
     segments = passages(spark)
     asked = spark.createDataFrame([("q1", "Which oil for PS-400?"), ("q2", "the AB code IT"), ("q3", "plain words"),
                                    ("q4", "PS-400 and XX99")], "query_id string, text string")
-    index = term_index(segments)
+    index = indexed(spark, segments).postings()
     kept = {(r.query_id, r.token): r.passages for r in selective_terms(asked, segments, index).collect()}
     assert kept == {("q1", "PS-400"): 2, ("q4", "PS-400"): 2}  # AB is in most passages, IT is a stop word, XX99 nowhere
     rows = search_keyword(asked, segments, index, 10).collect()
@@ -201,7 +226,7 @@ def test_selective_terms_and_proximity(spark):
 def test_hybrid_fuses_by_rank(spark):
     segments = passages(spark)
     asked = frame(spark, ["q1"], vectors(1, 9), "query_id", text=["PS-400 oil"])
-    rows = {r.segment_id: r for r in search_hybrid(asked, segments, 40).collect()}
+    rows = {r.segment_id: r for r in search_hybrid(asked, segments, 40, indexed(spark, segments).postings()).collect()}
     exact = {r.segment_id: r["rank"] for r in search_exact(asked, segments, 160).collect()}
     for s, r in rows.items():
         want = 1 / (60 + exact[s]) + {"s1": 1 / 61, "s2": 1 / 62}.get(s, 0)
