@@ -26,6 +26,18 @@ def shared_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_table(df: DataFrame) -> None:
+    """Delete a table of :func:`shared_table` once everything that reads it is written."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(checkpoint_root(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not files.makeQualified(hadoop(folder).getParent()).equals(files.makeQualified(root)):
+            raise ValueError(f"{folder} is not a table in the shared folder")
+        files.delete(hadoop(folder), True)
+
+
 def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
     """Mark a *stored* table of narrow rows for broadcast if it has at most ``rows`` rows; beyond that joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

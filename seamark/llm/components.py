@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from seamark.llm.common import shared_table
+from seamark.llm.common import delete_table, shared_table
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hook(both, both.where("v > u"))
-        edges = shared_table(_narrow(_hook(large, large, keep_node=True)), "components")
+        before, edges = edges, shared_table(_narrow(_hook(large, large, keep_node=True)), "components")
+        delete_table(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if tuple(state) == seen:
             break

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
-from test_llm_texts import edit_distance, reference_ids, split_words, words3
+from test_llm_texts import edit_distance, reference_ids, similar_groups, split_words, words3
 
 import corpus_pipeline
 from seamark.llm import line_dedup, toxicity
@@ -135,6 +135,11 @@ def test_pipeline_stage_by_stage(spark):
     """Every stage against a plain version on the rows that the stage before it kept."""
     docs = table(spark, SF_DIR, "documents")
     labels, columns = table(spark, SF_DIR, "labels"), docs.columns
+    clean = [f"plain{k % 97}word" for k in range(0, 900, 7)]
+    near, far = [w if k != 60 else "another" for k, w in enumerate(clean)], [w if k % 9 else "else" for k, w in enumerate(clean)]
+    passage = " ".join(f"calm{k}" for k in range(60)) + " " + table(spark, SF_DIR, "benchmark").orderBy("item_id").first().text
+    planted = [(10 ** 6 + k, x, "en", "src0", len(x)) for k, x in enumerate([" ".join(clean), " ".join(near), " ".join(clean), passage, " ".join(far)])]
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
     for name, stage in corpus_pipeline.STAGES:
         given = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
         out = shared_table(stage(spark, docs, SF_DIR), name.replace(" ", "-"))
@@ -153,15 +158,22 @@ def test_pipeline_stage_by_stage(spark):
                 if not lost or "\n".join(kept).strip(" "):
                     want[k] = "\n".join(kept)
             assert {k: r.text for k, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
-        elif name == "simhash near-dedup":
-            assert set(got) == {first for _, first in components_of(given).values()}
+        elif name == "near-dedup":
+            assert set(got) == {given[i][0] for i in set(similar_groups([x for _, x in given]))}
+            assert not {10 ** 6 + 1, 10 ** 6 + 2} & set(got) and {10 ** 6, 10 ** 6 + 3} <= set(got)
         elif name == "benchmark decontamination":
             grams = set()
             for r in table(spark, SF_DIR, "benchmark").collect():
                 w = split_words(r.text)
                 grams |= {tuple(w[i:i + min(10, len(w))]) for i in range(max(1, len(w) - 9))} if w else set()
-            sizes = {len(g) for g in grams}
-            clean = {k for k, x in given if not any(tuple(w[i:i + n]) in grams for w in [split_words(x)] for n in sizes for i in range(len(w) - n + 1))}
+            clean = set()
+            for k, x in given:
+                w = split_words(x)
+                found = [(i, n) for n in {len(g) for g in grams} for i in range(len(w) - n + 1) if tuple(w[i:i + n]) in grams]
+                short = {j for i, n in found if n < 10 for j in range(i, i + n)}
+                if not any(n == 10 for _, n in found) and not (short and 2 * len(short | {j for i, n in found for j in range(i, i + n)}) >= len(w)):
+                    clean.add(k)
+            assert 10 ** 6 + 3 not in clean
             assert set(got) == clean
         else:
             ids = defaultdict(bytes)

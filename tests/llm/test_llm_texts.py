@@ -467,19 +467,28 @@ def near_rows():
 
 def test_near_groups_against_brute_force(spark, near_rows):
     df = spark.createDataFrame(list(enumerate(near_rows)), "doc_id bigint, text string")
-    want, groups = similar_groups(near_rows), defaultdict(list)
-    for cell in (8, 256):
-        sets = shared_table(near_texts.shingle_sets(df, "doc_id", "text", 5), "shingles")
-        roots = {r.node: r.root for r in components(near_texts.similar_links(sets, cell=cell)).collect()}
-        got = {r.doc_id: roots.get(r.node, r.node) for r in sets.collect()}
-        names = {}
-        assert [k if got[k] is None else names.setdefault(got[k], k) for k in range(len(near_rows))] == want
-    for r in near_texts.near_groups(df).collect():
-        groups[r.group if r.group is not None else f"none{r.doc_id}"].append(r.doc_id)
-    assert {k: min(g) for g in groups.values() for k in g} == dict(enumerate(want)) and len(set(want)) < len(want)
+    want = similar_groups(near_rows)
+    for cell, frequent in ((8, 1_000_000), (256, 0), (256, 40), (64, 1_000_000)):
+        groups = defaultdict(list)
+        for r in near_texts.near_groups(df, cell=cell, most_frequent=frequent).collect():
+            groups[r.group if r.group is not None else f"none{r.doc_id}"].append(r.doc_id)
+        assert {k: min(g) for g in groups.values() for k in g} == dict(enumerate(want)) and len(set(want)) < len(want)
     assert near_texts.near_groups(df.limit(0)).count() == 0
 
 
+def test_boilerplate_families_are_not_compared(spark):
+    """Texts that share half of their words are no candidates once what many share comes last."""
+    shared = sentence(50, 100)
+    rows = [(k, f"{shared} {' '.join(f'own{k}x{i}' for i in range(100))}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").select(
+        "doc_id", F.lit(0).cast("bigint").alias("tie"), F.col("text").cast("binary").alias("text"))
+    frequent, counts = near_texts.frequent_elements(df, 5, 1000)
+    assert len(frequent) == len(counts) == 96 and counts.min() > 150
+    by_hash = near_texts._sets(df, lambda s: s[:near_texts.first_ones(len(s), (4, 5))], 5)
+    firsts = near_texts._sets(df, lambda s: near_texts.first_elements(s, frequent, counts, (4, 5)), 5)
+    assert near_texts.candidate_groups(by_hash).count() > 190 and near_texts.candidate_groups(firsts).count() == 0
+
+
 def test_near_dedup_stage_finds_similarity_of_four_fifths(spark, near_rows):
     """Most of these copies differ in more than three bits of their fingerprints."""
     rows = [(k, x, "en", "s", 1) for k, x in enumerate(near_rows) if shingles(x)]
@@ -508,3 +517,14 @@ def test_decontamination_stage_on_short_items(spark, tmp_path):
     df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()}
     assert got == {rows[i] for i in (0, 3, 5, 7)}
+
+
+def test_stages_keep_wordless_texts_and_other_tables(spark, tmp_path):
+    """Labels that are all toxic take out no text without words; line dedup needs no n_chars."""
+    rows = [(k, x) for k, x in enumerate([None, "", " \n ", *(sentence(70 + k, 12) for k in range(40))])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    spark.createDataFrame([(k, 1, 1) for k, _ in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert {0, 1, 2} <= {r.doc_id for r in kept.collect()}
+    out = corpus_pipeline.drop_lines(spark, docs, "")
+    assert out.columns == ["doc_id", "text", "lang"] and out.count() == len(rows)
