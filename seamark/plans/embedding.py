@@ -41,7 +41,7 @@ def reuse_by_content_query(t):
         "version_id", "source_version", "token_count")
 
 
-def _profiles(t):
+def preparations(t):
     rows = [("p1", "m", "r", "f", {"image": "280", "audio": "30/0", "video": "30/0"}),
             ("p2", "m", "r", "f", {"image": "280", "audio": "30/5", "video": "30/0"})]
     return t.spark.createDataFrame(
@@ -53,7 +53,7 @@ SELECT v.version_id, p.segment_id AS source_segment, p.token_count FROM versions
 WHERE v.media_type IN ('image/png', 'video/mp4') AND v.version_id NOT IN (SELECT version_id FROM segments WHERE profile_id = 'p2')""")
 def reuse_by_preparation_query(t):
     named = t.segments.withColumn("source_segment", F.col("segment_id"))
-    return reuse_by_preparation(t.versions.select("version_id"), t.versions, named, _profiles(t), "p2").select(
+    return reuse_by_preparation(t.versions.select("version_id"), t.versions, named, preparations(t), "p2").select(
         "version_id", "source_segment", "token_count")
 
 

@@ -2,6 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from seamark.operators.ingest_plan import plan_ingest
+from seamark.operators.metering import USAGE_KINDS, dedup_usage, month_totals, quota_report
+from seamark.plans.bindings import ntz
+from seamark.plans.embedding import preparations
 from seamark.plans.registry import query
 from seamark.sources.export import export_segments
 from seamark.sources.files import dedup_blobs, gated, verify_checksums
@@ -192,3 +196,64 @@ def decode_text_query(t):
            .when(n == 3, F.encode(F.lit(" \n\t "), "UTF-8")).when(n == 4, F.concat(F.unhex(F.lit("EFBBBF")), body)).otherwise(body))
     decoded = decode_text(t.raw("documents").select("doc_id", raw.alias("content")))
     return decoded.select("doc_id", "error_code", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
+
+
+@query("ingest_plan", """
+WITH once AS (SELECT * FROM usage QUALIFY row_number() OVER (PARTITION BY workspace_id, idem_key ORDER BY created_at, kind, quantity) = 1),
+tot AS (SELECT workspace_id, sum(quantity) AS i FROM once WHERE kind LIKE 'index%' AND date_trunc('month', created_at) = TIMESTAMP '2024-01-01' GROUP BY ALL),
+refused AS (SELECT w.workspace_id, NOT allow_excess AND coalesce(i, 0) >= index_tokens_month AS index_refused FROM workspaces w LEFT JOIN tot USING (workspace_id)),
+base AS (SELECT d.doc_id, d.workspace_id, d.source AS store_id, CASE WHEN d.doc_id % 6 = 3 THEN 'new/' || d.doc_id || d.ext ELSE d.path END AS path,
+    CASE WHEN d.doc_id % 2 = 0 THEN lv.sha256 ELSE sha256('other ' || d.doc_id) END AS sha256, d.created_at AS modified_at, d.last_no, lv.media_type,
+    f.file_id, f.deleted_at IS NULL AND d.doc_id % 6 <> 3 AS there, f.current_version_id, cv.sha256 AS current_sha
+  FROM docs d JOIN files f USING (file_id) JOIN versions lv ON lv.file_id = d.file_id AND lv.version_no = d.last_no
+  LEFT JOIN versions cv ON cv.version_id = f.current_version_id),
+del AS (SELECT 'a' || doc_id AS item_id, * FROM base UNION ALL SELECT 'b' || doc_id, * FROM base WHERE doc_id % 4 = 1
+  UNION ALL SELECT 'c' || doc_id, * REPLACE (sha256('older ' || doc_id) AS sha256, modified_at - INTERVAL 1 HOUR AS modified_at) FROM base WHERE doc_id % 4 = 3),
+folded AS (SELECT *, CASE WHEN doc_id % 13 = 5 THEN 'rejected' WHEN doc_id % 7 = 2 THEN 'superseded' WHEN row_number() OVER w = 1 THEN 'publish'
+    WHEN sha256 = first_value(sha256) OVER w THEN 'repeated' ELSE 'superseded' END AS fold
+  FROM del WINDOW w AS (PARTITION BY store_id, path ORDER BY modified_at DESC, sha256 DESC, item_id DESC)),
+act AS (SELECT *, regexp_extract(path, '[^/]+$') AS filename, CASE WHEN fold <> 'publish' THEN fold WHEN NOT there THEN 'new_file'
+    WHEN current_sha = sha256 THEN 'reuse' ELSE 'new_version' END AS action FROM folded),
+reached AS (SELECT store_id, store_id AS idx FROM stores WHERE deleted_at IS NULL UNION ALL
+  SELECT parent, store_id FROM (SELECT store_id, unnest(parents) AS parent FROM views WHERE NOT gone)),
+wanted AS (SELECT DISTINCT x.store_id, r.profile_id FROM reached x JOIN revisions r ON r.store_id = x.idx),
+need AS (SELECT DISTINCT a.item_id, w.profile_id FROM act a JOIN wanted w ON w.store_id = a.store_id OR (a.there AND w.store_id IN
+  (SELECT sf.store_id FROM store_files sf WHERE sf.file_id = a.file_id)) WHERE a.fold = 'publish'),
+have AS (SELECT DISTINCT version_id, profile_id FROM segments),
+work AS (SELECT item_id, a.action, n.profile_id, EXISTS (SELECT 1 FROM versions v JOIN have h USING (version_id) WHERE v.sha256 = a.sha256
+      AND v.filename = a.filename AND h.profile_id = n.profile_id) OR (a.action = 'reuse' AND a.media_type IN ('image/png', 'video/mp4') AND EXISTS
+      (SELECT 1 FROM have h WHERE h.version_id = a.current_version_id)) AS copied
+  FROM act a JOIN need n USING (item_id) WHERE NOT (a.action = 'reuse' AND EXISTS (SELECT 1 FROM have h WHERE h.version_id = a.current_version_id
+      AND h.profile_id = n.profile_id))),
+sums AS (SELECT item_id, count(*) FILTER (copied) AS copies, count(*) FILTER (NOT copied) AS embeds FROM work GROUP BY item_id),
+r AS (SELECT a.*, coalesce(copies, 0) AS copies, coalesce(embeds, 0) AS embeds, coalesce(embeds, 0) > 0 AND index_refused AS over
+  FROM act a LEFT JOIN sums USING (item_id) LEFT JOIN refused USING (workspace_id))
+SELECT item_id, path, action, CASE WHEN action IN ('reuse', 'new_version') THEN file_id END AS known_file,
+  CASE WHEN action = 'reuse' THEN current_version_id END AS known_version,
+  CAST(CASE action WHEN 'new_file' THEN 1 WHEN 'new_version' THEN last_no + 1 END AS INTEGER) AS version_no, copies, embeds,
+  CASE WHEN action = 'rejected' OR over THEN 'failed' WHEN embeds > 0 THEN 'queued' ELSE 'succeeded' END AS state, over AS retryable,
+  CASE WHEN action = 'rejected' THEN 'empty file' WHEN over THEN 'QUOTA_EXCEEDED' END AS error_code FROM r""")
+def ingest_plan_query(t):
+    """Every document is delivered: some twice, some after an older revision or after a newer one was published, some empty,
+    some at a new path."""
+    doc, n = F.col("doc_id").cast("string"), F.col("doc_id")
+    latest = t.versions.groupBy("file_id").agg(F.max_by("sha256", "version_no").alias("latest_sha"))
+    base = t.docs.join(latest, "file_id").select(
+        "doc_id", "workspace_id", F.col("source").alias("store_id"),
+        F.when(n % 6 == 3, F.concat(F.lit("new/"), doc, "ext")).otherwise(F.col("path")).alias("path"),
+        F.when(n % 2 == 0, F.col("latest_sha")).otherwise(F.sha2(F.concat(F.lit("other "), doc).cast("binary"), 256)).alias("sha256"),
+        F.col("created_at").alias("modified_at"), F.when(n % 13 == 5, 0).otherwise(1).cast("bigint").alias("size"))
+    item = lambda letter: F.concat(F.lit(letter), doc).alias("item_id")
+    older = base.where(n % 4 == 3).withColumn("sha256", F.sha2(F.concat(F.lit("older "), doc).cast("binary"), 256)).withColumn(
+        "modified_at", F.col("modified_at") - F.expr("interval 1 hour"))
+    arrived = gated(base.select(item("a"), "*").unionByName(base.where(n % 4 == 1).select(item("b"), "*")).unionByName(older.select(item("c"), "*")))
+    seen = base.where(n % 7 == 2).select("workspace_id", "store_id", "path", (F.col("modified_at") + F.expr("interval 1 day")).alias("modified_at"))
+    totals = month_totals(dedup_usage(t.usage), USAGE_KINDS).where(F.col("month") == ntz("2024-01-01 00:00:00"))
+    storage = t.workspaces.select("workspace_id", F.lit(0).cast("bigint").alias("total_bytes"))
+    refused = quota_report(storage, totals, t.workspaces).select("workspace_id", F.array_contains("refused", "indexing").alias("index_refused"))
+    plan = plan_ingest(arrived.drop("doc_id", "modality"), seen, t.files, t.versions, t.store_files, t.stores, t.revisions, t.segments,
+                       preparations(t), refused)
+    known = F.col("action").isin("reuse", "new_version")
+    return plan.select("item_id", "path", "action", F.when(known, F.col("file_id")).alias("known_file"),
+                       F.when(F.col("action") == "reuse", F.col("version_id")).alias("known_version"), "version_no", "copies", "embeds", "state",
+                       "retryable", "error_code")

@@ -37,6 +37,7 @@ TABLES = {
     "segments": _s(("workspace_id", STR), ("segment_id", STR), ("version_id", STR), ("profile_id", STR),
                    ("ordinal", INT), ("modality", STR), ("location", LOCATION), ("content", STR),
                    ("token_count", INT), ("embedding", VECTOR)),
+    "deliveries": _s(("workspace_id", STR), ("store_id", STR), ("path", STR), ("sha256", STR), ("modified_at", TS)),
     "upload_files": _s(("workspace_id", STR), ("session_id", STR), ("file_id", STR), ("path", STR), ("size", LONG),
                        ("sha256", STR), ("media_type", STR), ("part_size", LONG)),
     "upload_parts": _s(("workspace_id", STR), ("file_id", STR), ("part_no", INT), ("size", LONG)),

@@ -20,7 +20,9 @@ class Catalog:
 
     PARTITIONS = {"segments": ["workspace_id", "profile_id"]}
     # tables whose rows change: a later batch overrides a row by key, so a change costs its own rows only
-    LATEST = {"files": (["workspace_id", "file_id"], "updated_at")}
+    LATEST = {"files": (["workspace_id", "file_id"], "updated_at"),
+              "deliveries": (["workspace_id", "store_id", "path"], "modified_at"),
+              "job_items": (["workspace_id", "item_id"], "updated_at")}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

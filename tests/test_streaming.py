@@ -1,6 +1,7 @@
 import datetime as dt
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,44 @@ def test_redelivered_batch_adds_nothing(spark):
     assert catalog.read("files", "w").first().current_version_id == newest
 
 
+def test_deliveries_of_one_path_are_folded(spark):
+    """Repeated and out-of-order revisions, in one batch and over batches, publish the newest once; usage is charged once."""
+    from seamark.streaming.ingest import ingest_batch
+    catalog, at = Catalog(spark, fresh() + "/cat"), lambda m: dt.datetime(2024, 1, 1, 0, m)
+    schema = "path string, size long, modified_at timestamp, content binary"
+    run = lambda rows: sorted((r.path, r.outcome) for r in ingest_batch(
+        catalog, spark.createDataFrame(rows, schema), "w", "s", PROFILES["p1"], lambda: HashEmbedder(8)).collect())
+    first = run([("a.txt", 3, at(5), b"new"), ("a.txt", 3, at(5), b"new"), ("a.txt", 3, at(2), b"old"), ("b.txt", 1, at(1), b"b")])
+    assert first == [("a.txt", "succeeded"), ("a.txt", "superseded"), ("b.txt", "succeeded")]
+    assert [catalog.read(t, "w").count() for t in ("files", "file_versions", "segments")] == [2, 2, 2]
+    assert run([("a.txt", 4, at(3), b"late")]) == [("a.txt", "superseded")]
+    assert run([("a.txt", 3, at(5), b"new")]) == [("a.txt", "succeeded")]
+    assert run([("a.txt", 6, at(9), b"newest"), ("a.txt", 3, at(7), b"new")]) == [("a.txt", "succeeded"), ("a.txt", "superseded")]
+    assert {r.content for r in catalog.read("segments", "w").collect()} == {"new", "b", "newest"}
+    current = {r.current_version_id for r in catalog.read("files", "w").collect()}
+    assert {r.content for r in catalog.read("segments", "w").collect() if r.version_id in current} == {"b", "newest"}
+    usage = catalog.read("usage_events", "w").collect()
+    assert len(usage) == 3 and len({u.idem_key for u in usage}) == 3 and all(u.quantity > 0 for u in usage)
+    states = {r.item_id.split("|")[1]: 0 for r in catalog.read("job_items", "w").collect()}
+    assert set(states) == {"a.txt", "b.txt"} and catalog.read("job_items", "w").where("state <> 'succeeded'").count() == 0
+
+
+def test_broken_vectors_are_not_published(spark):
+    from seamark.streaming.ingest import ingest_batch
+
+    class Broken:
+        dims = 4
+
+        def embed(self, texts):
+            return np.array([[float("nan") if "bad" in t else 1.0] * 4 for t in texts], np.float32), [1] * len(texts)
+
+    catalog = Catalog(spark, fresh() + "/cat")
+    arrived = spark.createDataFrame([("a.txt", 3, b"bad"), ("b.txt", 4, b"good")], "path string, size long, content binary")
+    out = {r.path: r.outcome for r in ingest_batch(catalog, arrived, "w", "s", PROFILES["p1"], Broken).collect()}
+    assert out == {"a.txt": "NON_FINITE_EMBEDDING", "b.txt": "succeeded"} and catalog.read("segments", "w").count() == 1
+    assert {r.path: r.error_code for r in catalog.read("job_items", "w").collect()} == {"a.txt": "NON_FINITE_EMBEDDING", "b.txt": None}
+
+
 def test_ingest_serves_modalities_or_says_so(spark):
     from seamark.streaming.ingest import ingest_batch
     arrived = spark.createDataFrame([("x.png", 3, b"png"), ("a.txt", 5, b"Hello"), ("only.md", 6, b"# Only"), ("p.pdf", 3, b"pdf")],
@@ -173,7 +212,14 @@ def test_ingest_serves_modalities_or_says_so(spark):
         return {"pages": pdf.selectExpr("version_id as doc_id", "1 as page", "'A page of text.' as text", "cast(null as string) as ocr_text")}
 
     both = Catalog(spark, fresh() + "/cat")
-    makers = {"text": lambda: HashEmbedder(8), "image": lambda: HashEmbedder(8)}
+
+    class Pictures:  # a model of images, whose input has no text
+        dims = 8
+
+        def embed(self, texts):
+            return np.ones((len(texts), 8), np.float32), [1] * len(texts)
+
+    makers = {"text": lambda: HashEmbedder(8), "image": Pictures}
     out = {r.path: r.outcome for r in ingest_batch(both, arrived, "w", "s", PROFILES["p3"], makers, decode).collect()}
     assert out == {"x.png": "succeeded", "a.txt": "succeeded", "only.md": "EMPTY_CONTENT", "p.pdf": "succeeded"}
     segments = both.read("segments", "w")
