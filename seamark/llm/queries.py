@@ -128,7 +128,7 @@ _TEMPLATES = [(k, label, k < len(licenses.PHRASES), text) for k, (text, label) i
     tw AS (SELECT *, string_split(body, ' ') AS w FROM templates),
     grams AS (SELECT template, label, phrase, len(w) - 2 AS n, j, array_to_string(w[j + 1:j + 3], ' ') AS g
               FROM (SELECT *, unnest(range(len(w) - 2)) AS j FROM tw)),
-    hits AS (SELECT doc_id, template, label, phrase, n, i, i - j AS diagonal
+    hits AS (SELECT doc_id, template, label, phrase, n, i, j, i - j AS diagonal
              FROM (SELECT doc_id, i, array_to_string(w[i + 1:i + 3], ' ') AS g
                    FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) >= 3)) JOIN grams USING (g)),
     votes AS (SELECT doc_id, template, label, phrase, n, diagonal, count(*) AS votes, min(i) AS lo, max(i) AS hi FROM hits GROUP BY ALL),
@@ -136,9 +136,13 @@ _TEMPLATES = [(k, label, k < len(licenses.PHRASES), text) for k, (text, label) i
                WINDOW o AS (PARTITION BY doc_id, template ORDER BY lo, diagonal)),
     runs AS (SELECT *, sum(CASE WHEN before IS NULL OR abs(diagonal - before) > {licenses.SHIFT} OR lo - until > {3 + licenses.SHIFT}
                                 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY lo, diagonal) AS run FROM lagged),
-    merged AS (SELECT doc_id, template, label, n, run, sum(votes) AS votes, min(lo) AS lo, max(hi) + 3 AS upto FROM runs GROUP BY ALL),
+    whole AS (SELECT doc_id, template, label, n, run, min(lo) AS lo, max(hi) + 3 AS upto FROM runs GROUP BY ALL),
+    stands AS (SELECT r.doc_id, r.template, r.run, count(DISTINCT p) AS words
+               FROM runs r JOIN d USING (doc_id) JOIN tw t ON t.template = r.template, range(len(t.w)) AS x(p)
+               WHERE EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = r.doc_id AND h.template = r.template AND h.diagonal = r.diagonal
+                             AND p BETWEEN h.j AND h.j + 2) AND d.w[p + r.diagonal + 1] = t.w[p + 1] GROUP BY ALL),
     spans AS (SELECT doc_id, label, phrase, lo, 1.0::DOUBLE AS cover FROM votes WHERE phrase AND votes = n
-              UNION ALL SELECT doc_id, label, false, lo, least(votes::DOUBLE / n, 1.0) FROM merged
+              UNION ALL SELECT doc_id, label, false, lo, words::DOUBLE / (n + 2) FROM whole JOIN stands USING (doc_id, template, run)
               WHERE upto - lo <= {licenses.STRETCH} * (n + 2) + {licenses.SHIFT}),
     found AS (SELECT doc_id, count(*) FILTER (WHERE phrase) AS n_base, min(lo) FILTER (WHERE phrase) AS first_word,
                      max(lo) FILTER (WHERE phrase) AS last_word,

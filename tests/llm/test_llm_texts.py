@@ -253,11 +253,17 @@ def test_licenses(spark, docs, empty):
     assert got[3, 0].labels == "" and got[3, 0].score == 0.0 and len(licenses.scan_documents(docs).collect()) == len(ROWS)
     edited = ("x Permission is hereby granted, free of charge, to any kind person obtaining a copy of this lovely software and "
               "associated documentation files")
-    more = spark.createDataFrame([(1, edited), (2, "permission is hereby granted to nobody"), (3, "cc by nc cc by nc")], "doc_id bigint, text string")
+    again = " ".join(["permission is hereby granted"] * 6)  # the same four words are no notice, however often they stand
+    more = spark.createDataFrame([(1, edited), (2, "permission is hereby granted to nobody"), (3, "cc by nc cc by nc"), (4, again)], "doc_id bigint, text string")
     rows = {r.doc_id: r for r in licenses.scan_documents(more).collect()}
     assert rows[1].labels == "mit" and rows[1].base_labels == "" and rows[1].n_base == 0 and rows[1].first_word is None
     assert rows[2].labels == "" and 0 < rows[2].score < licenses.COVER
     assert (rows[3].n_base, rows[3].first_word, rows[3].last_word) == (2, 0, 3)
+    assert rows[4].labels == "" and abs(rows[4].score - 4 / 20) < 1e-9
+    own = spark.createDataFrame([(7, "house", False, " ".join(f"clause{i}" for i in range(300)))], "template int, label string, phrase boolean, text string")
+    long = spark.createDataFrame([(1, "so " + " ".join(f"clause{i}" for i in range(300) if i % 50))], "doc_id bigint, text string")
+    (r,) = licenses.scan_documents(long, library=own).collect()
+    assert r.labels == "house" and abs(r.score - 294 / 300) < 1e-9
     assert licenses.scan_documents(empty).count() == 0
 
 
