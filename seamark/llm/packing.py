@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from seamark.llm.tokens import encoder
+from seamark.llm.tokens import CHUNKS, PRETOKENS, encoder
 
 WINDOW = 4096
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, "
@@ -149,13 +149,14 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits(), with_ids: bool = False,
-                   doc_id: str = "doc_id", text: str = "text", loss: str | None = None) -> DataFrame:
+                   doc_id: str = "doc_id", text: str = "text", loss: str | None = None, remembered: float = 1.0) -> DataFrame:
     """One row per piece of a document's ids (``PIECES``): its place in the document and in its sequence.
 
     ``tokenizer`` is the path of a byte-level vocabulary on every machine. Each document ends with ``end_id``, so null and
     empty texts are one token. ``loss`` names a boolean column: whether a document's tokens bear loss (null: they do).
     Documents may be cut anywhere. Repeated rows are packed as often as they come; a null doc_id stays null; an empty
-    table gives no rows; other columns are not read. A sequence is padded up to ``limits.tokens`` unless its length is a
+    table gives no rows; other columns are not read. ``remembered`` is the share of the encoder's usual memory of words: less
+    of it takes more time. A sequence is padded up to ``limits.tokens`` unless its length is a
     power of two.
     """
     bears = F.coalesce(F.col(loss), F.lit(True)) if loss else F.lit(True)
@@ -163,7 +164,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Lim
     end = end_id.to_bytes(4, "little")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, out = encoder(tokenizer).encode, Packer(limits), _Output(with_ids)
+        known = int(CHUNKS * remembered), int(PRETOKENS * remembered)
+        encode, packer, out = encoder(tokenizer, *known).encode, Packer(limits), _Output(with_ids)
         for batch in batches:
             for key, body, bearing in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = encode(body) + end

@@ -21,7 +21,7 @@ class Encoder:
     pattern, and a new piece goes through the file's model. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int = CHUNKS, pretokens: int = PRETOKENS):
         import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -32,6 +32,7 @@ class Encoder:
         self.after_space: dict[str, bytes | None] = {}
         self.pretokens: dict[str, bytes] = {}
         self.cut = re.compile(r"(?= \S)")
+        self.most_chunks, self.most_pretokens = chunks, pretokens
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the text; none for a null or empty one."""
@@ -48,7 +49,7 @@ class Encoder:
         return (self._ids(head) if head else b"") + b"".join(found)
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.after_space) > CHUNKS:
+        if len(self.after_space) > self.most_chunks:
             self.after_space.clear()
         for chunk in {c for c in chunks if c not in self.after_space}:
             self.after_space[chunk] = self._ids(" " + chunk) if chunk and not chunk[0].isspace() else None
@@ -58,7 +59,7 @@ class Encoder:
         for piece in self.split(chunk):
             ids = known.get(piece)
             if ids is None:
-                if len(known) > PRETOKENS:
+                if len(known) > self.most_pretokens:
                     known.clear()
                 written = piece.encode().decode("latin1").translate(self.alphabet)
                 ids = known[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
@@ -67,6 +68,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, chunks: int = CHUNKS, pretokens: int = PRETOKENS) -> Encoder:
     """One per worker process and file; it is made where the work is, as each machine has the file at ``path``."""
-    return Encoder(path)
+    return Encoder(path, chunks, pretokens)
