@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamark.functions.ids import segment_id
 from seamark.functions.vectors import cosine_distance, normalized, vector_error
-from seamark.session import dealt
+from seamark.functions.text import query_input
+from seamark.profiles import Profile
+from seamark.session import cut_lineage, dealt
 
 BATCH = 16  # fixed value: inputs per model call
 
@@ -66,6 +68,20 @@ def embed(df: DataFrame, make_embedder: Callable[[], Embedder], text: str = "inp
     return dealt(df).mapInArrow(kernel, f"{fields}, embedding array<float>, token_count int")
 
 
+def embed_queries(queries: DataFrame, profile: Profile, make_embedder: Callable[[], Embedder], batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """(query vectors, usage) of a table of questions.
+
+    ``queries(query_id, workspace_id, text)``: each question goes through the profile's prompt, the model and the check of
+    vectors: (query_id, workspace_id, embedding, token_count, error_code). Usage is one fact per workspace and kind, for the
+    questions that got a vector; a null text is an empty question. The vectors are stored, so the model runs once.
+    """
+    asked = queries.select("query_id", "workspace_id", query_input(profile.query_prompt, F.coalesce("text", F.lit(""))).alias("input"))
+    made = embed(asked, make_embedder, batch=batch).drop("input").withColumn("error_code", vector_error(F.col("embedding"), F.size("embedding")))
+    vectors = cut_lineage(made)
+    usage = vectors.where("error_code is null").groupBy("workspace_id").agg(F.sum("token_count").cast("bigint").alias("quantity"))
+    return vectors, usage.select("workspace_id", F.lit("query_text_tokens").alias("kind"), "quantity").where("quantity > 0")
+
+
 def validate_vectors(df: DataFrame, dims: int, column: str = "embedding") -> DataFrame:
     """Add ``error_code`` and replace good vectors by their unit-length form."""
     checked = df.withColumn("error_code", vector_error(F.col(column), dims))

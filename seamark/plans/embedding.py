@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from seamark.functions.vectors import norm
 from seamark.operators.embedding import (HashEmbedder, compare_embeddings, embed, embed_usage, missing_vectors,
-                                         needed_profiles, reuse_by_content, reuse_by_preparation, validate_vectors)
+                                         embed_queries, needed_profiles, reuse_by_content, reuse_by_preparation, validate_vectors)
 from seamark.plans.registry import query
+from seamark.profiles import PROFILES
 
 
 @query("hash_embed")
@@ -89,3 +90,27 @@ SELECT version_id, profile_id, kind, CAST(quantity AS BIGINT) AS quantity, kind
   sum(token_count) AS quantity FROM segments GROUP BY ALL) WHERE quantity > 0""")
 def embed_usage_query(t):
     return embed_usage(t.segments).select("version_id", "profile_id", "kind", "quantity", "idem_key")
+
+
+_PROMPTED = f"""asked AS (SELECT 'q' || d.doc_id AS query_id, d.workspace_id, len(regexp_extract_all('{PROFILES["p1"].query_prompt}' || d.text, '\\S+')) AS tokens
+  FROM docs d WHERE d.text IS NOT NULL)"""
+
+
+def _asked(t):
+    """Every document's text as a question of its workspace."""
+    return embed_queries(t.docs.where("text is not null").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("query_id"), "workspace_id", "text"),
+                         PROFILES["p1"], lambda: HashEmbedder(64))
+
+
+@query("embed_queries", f"""WITH {_PROMPTED}
+SELECT query_id, workspace_id, CAST(tokens AS INTEGER) AS token_count, 64 AS dims, 1.0::DOUBLE AS norm, CAST(NULL AS VARCHAR) AS error_code FROM asked""")
+def embed_queries_query(t):
+    vectors, _ = _asked(t)
+    return vectors.select("query_id", "workspace_id", "token_count", F.size("embedding").alias("dims"), F.round(norm(F.col("embedding")), 4).alias("norm"),
+                          "error_code")
+
+
+@query("query_usage", f"""WITH {_PROMPTED}
+SELECT workspace_id, 'query_text_tokens' AS kind, CAST(sum(tokens) AS BIGINT) AS quantity FROM asked GROUP BY workspace_id""")
+def query_usage(t):
+    return _asked(t)[1]

@@ -13,7 +13,39 @@ from seamark.plans.registry import query
 from seamark.profiles import PROFILES, MediaPreparation, PagePreparation, TextPreparation
 
 
-@query("chunk_fixed")
+# The window cutter as a recursion over positions: each step looks at 1600 characters and finds the next position.
+_WINDOWS = r"""
+cut AS (
+  SELECT doc_id, 0 AS pos FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, CASE WHEN strpos(tail, ' ') > 0 THEN resume + strpos(tail, ' ') ELSE resume END FROM (
+    SELECT doc_id, resume, substr(text, resume + 1, stop - resume) AS tail FROM (
+      SELECT doc_id, text, stop, greatest(stop - 200, pos + 1) AS resume FROM (
+        SELECT doc_id, text, pos, pos + coalesce(CASE WHEN a > 800 THEN a + 2 WHEN b > 800 THEN b + 1 WHEN c > 800 THEN c + 2 WHEN d > 800 THEN d + 1 END, 1600)
+            AS stop FROM (
+          SELECT doc_id, text, pos, 1600 - nullif(strpos(w, E'
+
+'), 0) - 1 AS a, 1600 - nullif(strpos(w, E'
+'), 0) AS b,
+                 1600 - nullif(strpos(w, ' .'), 0) - 1 AS c, 1600 - nullif(strpos(w, ' '), 0) AS d
+          FROM (SELECT doc_id, text, pos, reverse(substr(text, pos + 1, 1600)) AS w FROM cut JOIN documents USING (doc_id)
+                WHERE pos + 1600 < length(text)))))) ),
+ends AS (SELECT doc_id, pos, length(text) AS total, text, reverse(substr(text, pos + 1, 1600)) AS w FROM cut JOIN documents USING (doc_id)),
+spans AS (SELECT doc_id, pos, text, CASE WHEN pos + 1600 >= total THEN total ELSE pos + coalesce(CASE
+    WHEN strpos(w, E'
+
+') BETWEEN 1 AND 798 THEN 1601 - strpos(w, E'
+
+') WHEN strpos(w, E'
+') BETWEEN 1 AND 799 THEN 1601 - strpos(w, E'
+')
+    WHEN strpos(w, ' .') BETWEEN 1 AND 798 THEN 1601 - strpos(w, ' .') WHEN strpos(w, ' ') BETWEEN 1 AND 799 THEN 1601 - strpos(w, ' ') END, 1600)
+    END AS stop FROM ends)"""
+
+
+@query("chunk_fixed", f"""WITH {_WINDOWS}
+SELECT doc_id, CAST(pos AS INTEGER) AS "start", CAST(stop AS INTEGER) AS "end", trim(substr(text, pos + 1, stop - pos), E' \n\t\r') AS content
+FROM spans WHERE regexp_matches(substr(text, pos + 1, stop - pos), '\\S')""")
 def chunk_fixed_query(t):
     return chunk_fixed(t.raw("documents").select("doc_id", "text"), "text", 1600, 200).select(
         "doc_id", "start", "end", "content")

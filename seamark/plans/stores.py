@@ -1,5 +1,7 @@
 """Queries of the store algebra and the filters."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from seamark.functions.metadata import contains
@@ -9,6 +11,9 @@ from seamark.operators.statistics import (deletion_preview, file_status, finaliz
 from seamark.operators.stores import (dependents, derivation_check, file_references, merge_compatible, merge_rebuild,
                                       merge_report, merge_stores, newest_version, remove_members, shared_sources, snapshot,
                                       split_by_field)
+from seamark.operators.store_changes import applied, candidates_of, member_changes, propagate
+from seamark.operators.stores import members_direct
+from seamark.plans.bindings import SQL_TABLES, ntz
 from seamark.plans.registry import query
 
 SOURCES = ["src3", "snap", "v_good", "src2"]
@@ -230,3 +235,38 @@ def profile_aliases_query(t):
     aliases = t.segments.select("profile_id", purpose).distinct().withColumn("alias", F.concat_ws("-", "profile_id", "purpose"))
     pairs = F.transform(F.array_sort(F.map_entries("aliases")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return profile_aliases(aliases).select("profile_id", F.array_join(pairs, ",").alias("aliases"))
+
+
+def _members_again(files: str, store_files: str) -> str:
+    """The member CTEs once more, over changed tables."""
+    body = SQL_TABLES[SQL_TABLES.index("direct AS ("):SQL_TABLES.index("blobs AS (")].rstrip().rstrip(",")
+    for name in ("direct", "level1", "level2", "level3", "upto1", "upto2", "members"):
+        body = re.sub(rf"\b{name}\b", name + "_new", body)
+    return re.sub(r"\bfiles f\b", files + " f", re.sub(r"\bstore_files sf\b", store_files + " sf", body))
+
+
+@query("members_delta", f"""
+WITH files_new AS (SELECT * REPLACE (CASE WHEN doc_id % 19 = 4 THEN TIMESTAMP '2024-01-30' ELSE deleted_at END AS deleted_at,
+    CASE WHEN doc_id % 10 = 5 THEN 'v' || doc_id || '-1' ELSE current_version_id END AS current_version_id,
+    CASE WHEN doc_id % 8 = 1 THEN '"en"' ELSE m_lang END AS m_lang) FROM files),
+store_files_new AS (SELECT * FROM store_files WHERE NOT (store_id = 'snap' AND right(file_id, 1) = '8')
+  UNION ALL SELECT 'src1', file_id, NULL FROM files WHERE doc_id % 21 = 1 AND file_id NOT IN (SELECT file_id FROM store_files WHERE store_id = 'src1')),
+{_members_again("files_new", "store_files_new")}
+SELECT store_id, file_id, version_id, path FROM members_new""")
+def members_delta(t):
+    """Files deleted, pointed back to their first version or given another language, members added and taken out: the members of all
+    stores after it, from the members before and the changes."""
+    n = F.regexp_extract("file_id", "[0-9]+", 0).cast("bigint")
+    files = t.files.withColumns({
+        "deleted_at": F.when(n % 19 == 4, ntz("2024-01-30 00:00:00")).otherwise(F.col("deleted_at")),
+        "current_version_id": F.when(n % 10 == 5, F.concat(F.lit("v"), n.cast("string"), F.lit("-1"))).otherwise(F.col("current_version_id")),
+        "metadata": F.when(n % 8 == 1, F.map_concat(F.map_filter("metadata", lambda k, _: k != "lang"), F.create_map(F.lit("lang"), F.lit('"en"')))).otherwise(
+            F.col("metadata"))})
+    there = t.store_files.where("store_id = 'src1'").select("file_id")
+    added = t.files.where(n % 21 == 1).select("file_id").join(there, "file_id", "left_anti").select(
+        F.lit("src1").alias("store_id"), "file_id", F.lit(None).cast("string").alias("pinned_version_id"))
+    held = t.store_files.where(~((F.col("store_id") == "snap") & F.col("file_id").endswith("8"))).unionByName(added)
+    views = t.stores.where(F.col("deleted_at").isNull() & (F.col("kind") == "view"))
+    changes = member_changes(t.direct, members_direct(t.stores, held, files, t.versions))
+    delta, _ = propagate(changes, candidates_of(views, t.members), views)
+    return applied(t.members, delta).select("store_id", "file_id", "version_id", "path")

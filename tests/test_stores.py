@@ -8,6 +8,8 @@ from seamark.functions.metadata import compact_chars, contains, merge_patch, sto
 from seamark.functions.text import slug
 from seamark.operators.lifecycle import delete_files, promotable, promote, unshared_sources
 from seamark.operators.stores import (merge_report, merge_stores, resolve_all, snapshot, split_by_field)
+from seamark.operators.store_changes import applied, candidates_of, member_changes, propagate
+from seamark.operators.stores import members_direct
 from seamark.schemas import STORE_DEFINITION
 
 STORES = ("store_id string, name string, kind string, definition " + STORE_DEFINITION.simpleString()
@@ -160,3 +162,34 @@ def test_promotion_and_rollback(spark):
         assert unmoved.first().active_revision_id == "r2" and outcome.first().outcome == code
     back, store, _ = promote(after, store, promotable(after, members, segments), ["r1"])
     assert {r.revision_id: r.state for r in back.collect()}["r1"] == "active" and store.first().active_revision_id == "r1"
+
+
+def test_changes_carried_through_views_equal_resolving_again(spark):
+    """Rounds of deletions, new pointers, metadata and memberships; what is kept beside the members goes on to the next round."""
+    from seamark.session import cut_lineage
+    old = random_world(spark, 3)
+    views = old.stores.where("deleted_at is null and kind = 'view'")
+    rows = lambda df: {(r.store_id, r.file_id, r.version_id, r.path, tuple(sorted(r.metadata.items()))) for r in df.collect()}
+    members, candidates = cut_lineage(old.resolved()), cut_lineage(candidates_of(views, old.resolved()))
+    rng = random.Random(4)
+    for _ in range(3):
+        files, held = [list(f) for f in old.file_rows.values()], list(old.membership_rows)
+        for f in rng.sample(files, 12):
+            change = rng.randrange(4)
+            f[2] = rng.choice([None, f"v{f[0][1:]}-1", f"v{f[0][1:]}-2"]) if change == 0 else f[2]
+            f[3] = {"d": rng.choice(['"x"', "1"])} if change == 1 else f[3]
+            f[4] = ("2024-02-01" if f[4] is None else None) if change == 2 else f[4]
+            f[1] = "a/moved" + f[0] if change == 3 else f[1]
+        held = [m for m in held if rng.random() > 0.03]
+        free = {(s, f[0]) for s, *_ in old.rows.values() for f in files if old.rows[s][2] == "material"} - {m[:2] for m in held}
+        held += [(*m, None) for m in rng.sample(sorted(free), 5)]
+        new = World(spark, list(old.rows.values()), [tuple(f) for f in files], list(old.version_rows.values()), held)
+        direct = lambda w: members_direct(w.stores, w.store_files, w.files, w.versions)
+        changes = member_changes(direct(old), direct(new))
+        delta, given = propagate(changes, candidates, views)
+        members, candidates = cut_lineage(applied(members, delta)), cut_lineage(applied(candidates, given))
+        assert rows(members) == rows(new.resolved()) and members.where("n <> 1").isEmpty()
+        counts = lambda df: {(r.store_id, r.file_id, r.version_id, r.facts_id, r.n) for r in df.collect()}
+        assert counts(candidates) == counts(candidates_of(views, new.resolved()))
+        old = new
+    assert propagate(changes.limit(0), candidates, views)[0].isEmpty()
