@@ -535,3 +535,32 @@ def test_stages_keep_wordless_texts_and_other_tables(spark, tmp_path):
     assert {0, 1, 2} <= {r.doc_id for r in kept.collect()}
     out = corpus_pipeline.drop_lines(spark, docs, "")
     assert out.columns == ["doc_id", "text", "lang"] and out.count() == len(rows)
+
+
+def plain_score(m, text):
+    """The score of a text by loops over its words, windows, filters and components."""
+    words = split_words(text)
+    bucket = lambda w: (xxhash.xxh64_intdigest(w.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    number = lambda w: bucket(w) % toxicity.BUCKETS
+    rows = [[float(a) + float(b) for a, b in zip(m.words[number(w)], m.prefixes[number(w[:toxicity.PREFIX])])] for w in words]
+    logit, k = float(m.offset), 0
+    for width, weight in zip(toxicity.WIDTHS, m.filters):
+        for f in range(toxicity.FILTERS):
+            best = max((sum(rows[i + j][d] * float(weight[j][d][f]) for j in range(width) if i + j < len(rows) for d in range(toxicity.DIM))
+                        for i in range(len(rows))), default=0.0)
+            logit += max(best + float(m.bias[k]), 0.0) * float(m.dense[k])
+            k += 1
+    return 1 / (1 + np.exp(-(m.scale * logit + m.shift)))
+
+
+def test_scores_against_loops(spark):
+    """Words shared, repeated and cut short, empty and null texts; the threshold of a row's language decides."""
+    rng = np.random.default_rng(21)
+    m = toxicity.Model.new(rng)
+    m.bias, m.offset, m.scale, m.shift = rng.normal(0, 0.2, m.bias.shape).astype(np.float32), 0.3, 1.7, -0.4
+    m.thresholds, m.fallback = {"en": 0.2, "fr": 0.9}, 0.5
+    texts = ["", None, "one", "One one ONE", "ab abcd abcde", *(sentence(300 + k, 1 + 5 * k) for k in range(8))]
+    df = spark.createDataFrame([(k, x, ("en", "fr", "xx", None)[k % 4]) for k, x in enumerate(texts)], "doc_id bigint, text string, lang string")
+    for r in toxicity.score(df, m).collect():
+        want, limit = plain_score(m, texts[r.doc_id] or ""), {"en": 0.2, "fr": 0.9}.get(r.lang, 0.5)
+        assert abs(r.score - want) < 1e-4 and r.threshold == limit and r.toxic == (r.score >= limit)
