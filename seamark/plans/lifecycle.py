@@ -6,7 +6,7 @@ from seamark.operators.lifecycle import (check_replay, delete_files, delete_stor
                                          publish, reindex_plan, replay_ledger, resolve_versions, retry_plan,
                                          unshared_sources)
 from seamark.operators.paging import audit_page, latest_by, page, segments_page
-from seamark.operators.retention import collect_blobs, collect_versions
+from seamark.operators.retention import collect_blobs, collect_versions, expired_assets, expired_sessions
 from seamark.operators.statistics import OPEN_STATES
 from seamark.plans.bindings import CUTOFF, ntz
 from seamark.plans.registry import query
@@ -228,3 +228,20 @@ def latest_by_query(t):
 def audit_page_query(t):
     events = t.raw("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.col("user_id").alias("actor"))
     return audit_page(events, 50, 900)
+
+
+@query("expired_sessions", """
+SELECT o_orderkey AS session_id FROM orders WHERE o_orderstatus = 'O' AND o_orderdate + INTERVAL 90 DAY < TIMESTAMP '1997-06-01'""")
+def expired_sessions_query(t):
+    """Orders as upload sessions that end after ninety days."""
+    sessions = t.raw("orders").select(F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("committed").alias("state"),
+                                      (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("interval 90 days")).alias("expires_at"))
+    return expired_sessions(sessions, ntz("1997-06-01 00:00:00")).select("session_id")
+
+
+@query("expired_assets", """
+SELECT event_id AS asset_id FROM events WHERE event_type = 'click' AND ts + INTERVAL 1 DAY < TIMESTAMP '2024-01-20 00:00:00'""")
+def expired_assets_query(t):
+    """Clicks as query assets that are kept for a day."""
+    assets = t.raw("events").where("event_type = 'click'").select(F.col("event_id").alias("asset_id"), (F.col("ts") + F.expr("interval 1 day")).alias("expires_at"))
+    return expired_assets(assets, ntz(CUTOFF)).select("asset_id")
