@@ -24,6 +24,18 @@ def store_stats(stores: DataFrame, members: DataFrame, versions: DataFrame, segm
     return live.join(sizes, "store_id", "left").join(by, "store_id", "left").withColumns(zero)
 
 
+def store_activity(stores: DataFrame, jobs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Per live store: its jobs by state (a map) and its index revisions with their states, oldest name first; empty where
+    there are none. ``jobs(store_id, state)``, ``revisions(store_id, revision_id, profile_id, state)``."""
+    by = jobs.groupBy("store_id", "state").agg(F.count(F.lit(1)).alias("n")).groupBy("store_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("state", "n")))).alias("jobs_by_state"))
+    indexes = revisions.groupBy("store_id").agg(F.sort_array(F.collect_list(F.struct("revision_id", "profile_id", "state"))).alias("revisions"))
+    live = stores.where(F.col("deleted_at").isNull()).select("store_id")
+    rows = live.join(by, "store_id", "left").join(indexes, "store_id", "left")
+    return rows.withColumns({"jobs_by_state": F.coalesce("jobs_by_state", F.create_map().cast("map<string,bigint>")),
+                             "revisions": F.coalesce("revisions", F.array().cast("array<struct<revision_id:string,profile_id:string,state:string>>"))})
+
+
 def store_summary(stores: DataFrame, members: DataFrame, segments: DataFrame, profile_id: str) -> DataFrame:
     """Per live store: distinct files, segments, ready or empty."""
     per_version = segments.where(F.col("profile_id") == profile_id).groupBy("version_id").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seamark.functions.metadata import contains
 from seamark.operators.filters import Filter, live, matches, restrict, scoped
 from seamark.operators.statistics import (deletion_preview, file_status, finalize_jobs, gauges, job_counts,
-                                          profile_aliases, store_stats, store_summary)
+                                          profile_aliases, store_activity, store_stats, store_summary)
 from seamark.operators.stores import (dependents, derivation_check, file_references, merge_compatible, merge_rebuild,
                                       merge_report, merge_stores, newest_version, remove_members, shared_sources, snapshot,
                                       split_by_field)
@@ -270,3 +270,18 @@ def members_delta(t):
     changes = member_changes(t.direct, members_direct(t.stores, held, files, t.versions))
     delta, _ = propagate(changes, candidates_of(views, t.members), views)
     return applied(t.members, delta).select("store_id", "file_id", "version_id", "path")
+
+
+@query("store_activity", """
+WITH own AS (SELECT 'src' || (CAST(substr(job_id, 2) AS BIGINT) % 20) AS store_id, state FROM jobs),
+j AS (SELECT store_id, state, count(*) AS n FROM own GROUP BY ALL),
+js AS (SELECT store_id, string_agg(state || '=' || n, ',' ORDER BY state) AS jobs FROM j GROUP BY store_id),
+rs AS (SELECT store_id, string_agg(revision_id || '/' || profile_id || '=' || state, ',' ORDER BY revision_id) AS revisions FROM revisions GROUP BY store_id)
+SELECT s.store_id, coalesce(jobs, '') AS jobs, coalesce(revisions, '') AS revisions FROM stores s LEFT JOIN js USING (store_id) LEFT JOIN rs USING (store_id)
+WHERE s.deleted_at IS NULL""")
+def store_activity_query(t):
+    jobs = t.jobs.select(F.concat(F.lit("src"), (F.substring("job_id", 2, 20).cast("bigint") % 20).cast("string")).alias("store_id"), "state")
+    rows = store_activity(t.stores, jobs, t.revisions)
+    states = F.transform(F.array_sort(F.map_entries("jobs_by_state")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    indexes = F.transform("revisions", lambda r: F.concat(r["revision_id"], F.lit("/"), r["profile_id"], F.lit("="), r["state"]))
+    return rows.select("store_id", F.array_join(states, ",").alias("jobs"), F.array_join(indexes, ",").alias("revisions"))
