@@ -1,5 +1,7 @@
 """Queries of retrieval and its evaluation."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seamark.functions.text import identifiers
@@ -12,7 +14,8 @@ from seamark.operators.keyword import search_keyword, selective_terms
 from seamark.operators.statistics import store_stats
 from seamark.operators.vector_search import eligible, search_exact
 from seamark.plans.registry import query
-from seamark.sources.export import export_segments
+from seamark.session import checkpoint_root
+from seamark.sources.export import export_segments, read_export, write_export
 
 
 def topk_sql(source: str, k: int, name: str = "vec") -> str:
@@ -280,3 +283,14 @@ def check_export_query(t):
     export = export_segments(t.members, t.p1, t.files, t.versions)
     expected = store_stats(t.stores, t.members, t.versions, t.segments, "p1").select("store_id", "segments")
     return check_export(export, expected)
+
+
+@query("export_best_match", f"""WITH shown AS (SELECT DISTINCT p.* FROM members m JOIN p1 p USING (version_id) WHERE m.store_id = 'v_deep'),
+  {topk_sql("shown", 1)} SELECT query_id, segment_id AS best_segment, round(1 - distance, 6) AS score FROM vec""")
+def export_best_match(t):
+    """A store is exported as JSON lines and read again; the best match of every question by the exported vectors is the one
+    that a search of the store gives."""
+    place = f"{checkpoint_root(t.spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    write_export(export_segments(t.members.where("store_id = 'v_deep'"), t.p1, t.files, t.versions, ["embedding"]), place)
+    return search_exact(t.queries, read_export(t.spark, place), 1).select(
+        "query_id", F.col("segment_id").alias("best_segment"), F.round(1 - F.col("distance"), 6).alias("score"))

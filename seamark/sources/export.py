@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def export_segments(members: DataFrame, segments: DataFrame, files: DataFrame, versions: DataFrame,
@@ -27,3 +27,8 @@ def export_segments(members: DataFrame, segments: DataFrame, files: DataFrame, v
 def write_export(export: DataFrame, path: str) -> None:
     """JSON lines, one file per task: nothing is gathered into one writer."""
     export.write.mode("errorifexists").json(path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """The segments of a written export with their vectors: (segment_id, store_id, modality, embedding)."""
+    return spark.read.schema("segment_id string, store_id string, modality string, embedding array<float>").json(path)
