@@ -70,8 +70,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", library: D
     """
     grams_of, words_in = template_grams(template_table(docs.sparkSession) if library is None else library)
     key = [F.col(doc_id).alias("doc_id"), document_key(F.col(text)).alias("tie")]
-    worded = docs.where(F.col(text).isNotNull()).select(*key, words_of(F.col(text)).alias("words"))
-    grams = worded.select("doc_id", "tie", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).select(
+    told = docs.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("told"))
+    grams = told.select("doc_id", "tie", words_of(F.col("told")).alias("words")).select("doc_id", "tie", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).select(
         "doc_id", "tie", F.posexplode(F.transform(_range(F.size("h") - K + 1), lambda i: gram_hash(F.col("h"), i, K))).alias("i", "g"))
     hits = grams.join(grams_of, "g").select("doc_id", "tie", "template", "label", "phrase", "n", "i", "j", (F.col("i") - F.col("j")).alias("diagonal"))
     own = ["doc_id", "tie", "template", "label", "phrase", "n"]
@@ -91,8 +91,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", library: D
                                            (F.max("hi") + K).alias("end")).where(
         F.col("end") - F.col("start") <= STRETCH * (F.col("n") + K - 1) + SHIFT), "spans")
     # texts stay where they are read: the spans, with the places of their words, are sent to them if they are few
-    named = broadcast_below(merged.withColumnsRenamed({"doc_id": "__id", "tie": "__tie"}), SMALL).join(words_in, "template")
-    compared = worded.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")))
+    named = broadcast_below(merged.withColumnsRenamed({"doc_id": "__id", "tie": "__tie"}), SMALL)
+    compared = told.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie"))).join(words_in, "template").withColumn("words", words_of(F.col("told")))
     same = F.filter("places", lambda x: F.get(F.col("words"), x["i"]) == F.get(F.col("own"), x["p"]))
     cover = F.size(F.array_distinct(F.transform(same, lambda x: x["p"]))) / F.size("own")
     spans = compared.select("doc_id", "tie", "template", "label", "phrase", "start", "end", cover.alias("cover")).distinct()
