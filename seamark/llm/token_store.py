@@ -37,7 +37,7 @@ SPREAD = 1.5      # bits per key on a level
 PAYLOAD = ("shard int, block int, start bigint, tokens bigint, keys array<bigint>, lengths array<int>, payload binary")
 INDEX = ("bucket bigint, entries bigint, levels array<bigint>, bits binary, fingerprint binary, shard binary, block binary, "
          "row binary, copies binary, runs binary")
-NULL_KEY = -0x5EA3A2C0FFEE  # stands for a null key inside the index only; the payload tells the two apart
+NULL_KEY = -0x5EA3A2C0FFEE  # a null key is hashed as this number; who asks says which of the two is meant, and the payload which it is
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -179,31 +179,33 @@ def bucket_of(buckets: int):
 
 
 def locate(store: Store, keys: DataFrame, key: str = "key") -> DataFrame:
-    """(key, shard, block, row, copies) of every distinct key that the index knows; a false one passes once in 2**32."""
+    """(key, none, shard, block, row, copies) of every distinct key that the index may know: a false one passes once in 2**32,
+    and ``NULL_KEY`` and a null key (``none``) are told apart by the payload."""
     rows = store.shards.agg(F.sum("rows")).first()[0] or 0
     buckets = max(1, -(-rows // BUCKET))
-    asked = keys.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)).alias("key")).distinct().withColumn(
+    asked = keys.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY)).alias("key"), F.col(key).isNull().alias("none")).distinct().withColumn(
         "bucket", bucket_of(buckets))
-    form = "key bigint, shard int, block int, row int, copies int"
+    form = "key bigint, none boolean, shard int, block int, row int, copies int"
     names = [c.split()[0] for c in form.split(", ")]
 
     def look(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(index):
-            return pd.DataFrame({n: [] for n in names}).astype("int64")
+            return pd.DataFrame({n: [] for n in names}).astype("int64").astype({"none": bool})
         entry = index.iloc[0]
         sizes = [int(x) for x in entry["levels"]]
         bits = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), count=sum(sizes)).astype(bool)
         column = {c: np.frombuffer(entry[c], "<u4") for c in ("fingerprint", "shard", "block", "row", "copies", "runs")}
-        found, wanted, run = [], asked["key"].to_numpy(np.int64), 0
+        found, wanted, none, run = [], asked["key"].to_numpy(np.int64), asked["none"].to_numpy(bool), 0
         while len(wanted):
             hashes = entry_hash(wanted, np.full(len(wanted), run))
             slots = find_slots(hashes, sizes, bits)
             good = slots >= 0
             good[good] = column["fingerprint"][slots[good]] == (mix(hashes[good], 3) >> np.uint64(32)).astype(np.uint32)
-            wanted, slots = wanted[good], slots[good]
-            found.append(pd.DataFrame({"key": wanted, **{c: column[c][slots].astype(np.int64) for c in names[1:]}}))
+            wanted, none, slots = wanted[good], none[good], slots[good]
+            found.append(pd.DataFrame({"key": wanted, "none": none, **{c: column[c][slots].astype(np.int64) for c in names[2:]}}))
             run += 1
-            wanted = wanted[column["runs"][slots] > run]
+            more = column["runs"][slots] > run
+            wanted, none = wanted[more], none[more]
         return pd.concat(found)[names]
 
     return asked.groupBy("bucket").cogroup(store.index.groupBy("bucket")).applyInPandas(look, form)
@@ -217,7 +219,7 @@ def fetch(store: Store, keys: DataFrame, key: str = "key", with_ids: bool = Fals
     """
     width = store.width
     wanted = locate(store, keys, key).groupBy("shard", "block").agg(
-        F.collect_list(F.struct("key", "row", "copies")).alias("wanted"))  # at most BLOCK_ROWS in a block
+        F.collect_list(F.struct("key", "none", "row", "copies")).alias("wanted"))  # at most BLOCK_ROWS in a block
     found = store.payload.join(F.broadcast(store.shards.select("shard", "before")), "shard").join(wanted, ["shard", "block"]).select(
         (F.col("before") + F.col("start")).alias("start"), "keys", "lengths", "payload", "wanted")
     form = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -230,7 +232,7 @@ def fetch(store: Store, keys: DataFrame, key: str = "key", with_ids: bool = Fals
                 ids = np.frombuffer(block["payload"].as_buffer(), f"<u{width}").astype("<u4")
                 out = []
                 for w in block["wanted"].as_py():
-                    if keys[w["row"]] != (None if w["key"] == NULL_KEY else w["key"]):
+                    if keys[w["row"]] != (None if w["none"] else w["key"]):
                         continue
                     for row in range(w["row"], w["row"] + w["copies"]):
                         first = int(ends[row - 1]) if row else 0
