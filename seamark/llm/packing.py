@@ -156,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Lim
     empty texts are one token. ``loss`` names a boolean column: whether a document's tokens bear loss (null: they do).
     Documents may be cut anywhere. Repeated rows are packed as often as they come; a null doc_id stays null; an empty
     table gives no rows; other columns are not read. ``remembered`` is the share of the encoder's usual memory of words: less
-    of it takes more time. A sequence is padded up to ``limits.tokens`` unless its length is a
+    of it takes more time, and is given back after each task. A sequence is padded up to ``limits.tokens`` unless its length is a
     power of two.
     """
     bears = F.coalesce(F.col(loss), F.lit(True)) if loss else F.lit(True)
@@ -165,7 +165,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Lim
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = int(CHUNKS * remembered), int(PRETOKENS * remembered)
-        encode, packer, out = encoder(tokenizer, *known).encode, Packer(limits), _Output(with_ids)
+        coder, packer, out = encoder(tokenizer, *known), Packer(limits), _Output(with_ids)
+        encode = coder.encode
         for batch in batches:
             for key, body, bearing in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = encode(body) + end
@@ -176,6 +177,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Lim
                     yield out.batch()
         for sequence in packer.finish():
             out.add(sequence)
+        if remembered < 1:
+            coder.forget()
         yield out.batch()
 
     return rows.mapInArrow(pack, PIECES)

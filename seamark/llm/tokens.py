@@ -48,6 +48,10 @@ class Encoder:
             return b"".join(self._ids(chunk) for chunk in self.cut.split(text) if chunk)
         return (self._ids(head) if head else b"") + b"".join(found)
 
+    def forget(self) -> None:
+        """Give back the memory of words."""
+        self.after_space.clear(), self.pretokens.clear()
+
     def _learn(self, chunks: list[str]) -> None:
         if len(self.after_space) > self.most_chunks:
             self.after_space.clear()

@@ -106,6 +106,16 @@ def test_key_over_many_blocks(spark, monkeypatch):
     assert {r["key"]: r["count"] for r in got} == {7: 60, **{k: 1 for k in range(5)}}
 
 
+def test_null_key_and_its_number_are_told_apart(spark):
+    rows = [(token_store.NULL_KEY, "the number"), (None, "no key at all"), (3, "three")]
+    store = token_store.write_store(spark.createDataFrame(rows, "doc_id bigint, text string"), vocabulary())
+    asked = lambda *keys: {r.key: bytes(r.ids) for r in token_store.fetch(
+        store, spark.createDataFrame([(k,) for k in keys], "key bigint"), with_ids=True).collect()}
+    want = {k: reference_ids(x, 2).tobytes() for k, x in rows}
+    assert asked(3, None, token_store.NULL_KEY) == want
+    assert asked(None) == {None: want[None]} and asked(token_store.NULL_KEY) == {token_store.NULL_KEY: want[token_store.NULL_KEY]}
+
+
 @pytest.mark.parametrize("rows", [0, 1, 2, 3, 40, 41, 1000])
 def test_permutation(rows):
     out = sharding.permute(np.arange(rows), rows, 42)
