@@ -25,7 +25,7 @@ def search_hybrid(queries: DataFrame, segments: DataFrame, k: int, postings: Dat
                   vector_search: Callable[[DataFrame, DataFrame, int], DataFrame] = search_exact) -> DataFrame:
     """Reciprocal rank fusion of vector and identifier rankings: (query_id, segment_id, distance, rrf, keyword_rank,
     vector_rank, rank). ``segments`` are the eligible ones of the store and ``postings`` theirs in a stored index; ``modalities``
-    limits both rankings only."""
+    limits both rankings only. A segment or question without a vector has no distance and comes after those that tie with it."""
     n = depth_of(k)
     allowed = segments if modalities is None else segments.where(F.col("modality").isin(list(modalities)))
     by_vector = vector_search(queries, allowed, n).select("query_id", "segment_id", F.col("rank").alias("rk"),
@@ -40,13 +40,13 @@ def search_hybrid(queries: DataFrame, segments: DataFrame, k: int, postings: Dat
     located = (bounded(fused, MAX_HITS).join(allowed.select("segment_id", F.col("embedding").alias("__s")), "segment_id")
                .join(queries.select("query_id", F.col("embedding").alias("__q")), "query_id")
                .withColumn("distance", cosine_distance(F.col("__s"), F.col("__q"))).drop("__s", "__q"))
-    order = W.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), "distance", "segment_id")
+    order = W.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), F.asc_nulls_last("distance"), "segment_id")
     return located.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def interleave(per_modality: DataFrame, k: int) -> DataFrame:
     """Merge rankings made inside each modality: (modality_rank, distance), at most k per query."""
-    order = W.partitionBy("query_id").orderBy("modality_rank", "distance", "segment_id")
+    order = W.partitionBy("query_id").orderBy("modality_rank", F.asc_nulls_last("distance"), "segment_id")
     return per_modality.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

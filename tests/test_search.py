@@ -7,7 +7,7 @@ from seamark.operators.ann import MIN_LIST, build_index, list_size, load_index,
 from seamark.operators.evaluation import compare_runs, eval_answers, eval_hits, eval_recall
 from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
-from seamark.operators.hybrid import search_balanced, search_hybrid
+from seamark.operators.hybrid import interleave, search_balanced, search_hybrid
 from seamark.operators.keyword import search_keyword, selective_terms
 from seamark.operators import vector_search
 from seamark.operators.term_index import open_term_index
@@ -235,6 +235,19 @@ def test_hybrid_fuses_by_rank(spark):
     assert [r.segment_id for r in order] == [r.segment_id for r in sorted(order, key=lambda r: (-round(r.rrf, 12), r.distance))]
 
 
+def test_hits_without_a_vector_follow_their_ties(spark):
+    """A passage found by its words alone has no distance: equal in rank with the nearest vector, it comes after it."""
+    segments = spark.createDataFrame([("s0", None, "text", "Form AB12"), ("s1", [1.0, 0.0], "text", "plain"), ("s2", [0.0, 1.0], "text", "plain")],
+                                     "segment_id string, embedding array<float>, modality string, content string")
+    asked = spark.createDataFrame([("q1", [1.0, 0.1], "AB12")], "query_id string, embedding array<float>, text string")
+    words = indexed(spark, segments).postings()
+    order = lambda rows: [r.segment_id for r in sorted(rows.collect(), key=lambda r: r["rank"])]
+    assert order(search_hybrid(asked, segments, 10, words)) == ["s1", "s0", "s2"]
+    assert order(search_balanced(asked, segments, 10, ["text"], words)) == ["s1", "s0", "s2"]
+    ranked = spark.createDataFrame([("q1", "a", None, 1), ("q1", "b", 0.5, 1)], "query_id string, segment_id string, distance double, modality_rank int")
+    assert order(interleave(ranked, 2)) == ["b", "a"]
+
+
 def test_evidence_rechecks_files_and_context(spark):
     location = "struct<start:int,end:int,page:int,section:string,start_seconds:double,end_seconds:double,kind:string,type:string>"
     segments = spark.createDataFrame(
