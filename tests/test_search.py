@@ -9,7 +9,7 @@ from seamark.operators.evidence import build_context, evidence
 from seamark.operators.filters import Filter
 from seamark.operators.hybrid import interleave, search_balanced, search_hybrid
 from seamark.operators.keyword import search_keyword, selective_terms
-from seamark.operators import vector_search
+from seamark.operators import term_index, vector_search
 from seamark.operators.term_index import open_term_index
 from seamark.operators.vector_search import eligible, search_exact
 
@@ -210,6 +210,20 @@ def test_term_index_grows_by_versions(spark):
     assert "Exchange" not in plan and "Bucketed: true" in plan
 
 
+def test_tasks_that_write_the_index_grow_with_the_text(spark, monkeypatch):
+    """A bucket is written by as many tasks as its text takes, and large tables get more buckets."""
+    monkeypatch.setattr(term_index, "TASK_BYTES", 2000)
+    texts = spark.range(2000).select(F.format_string("s%04d", "id").alias("segment_id"), F.concat(F.lit("common word "), "id").alias("content"))
+    index = indexed(spark, texts)
+    files = {f.rsplit("/", 1)[1]: 0 for f in spark.read.parquet(f"{index.path}/postings").inputFiles()}
+    assert len(files) >= 12  # 31 kB of text; four buckets alone would give four files, and one for the common words
+    found = index.postings()
+    assert found.count() == 6000 and found.where("term = 'common'").select("segment_id").distinct().count() == 2000
+    rows = spark.read.parquet(f"{index.path}/postings").where("term = 'common'").groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in rows) < 1000
+    assert [term_index.buckets_for(n) for n in (0, 10 ** 8, 6 * 10 ** 9)] == [8, 8, 256]
+
+
 def test_selective_terms_and_proximity(spark):
     segments = passages(spark)
     asked = spark.createDataFrame([("q1", "Which oil for PS-400?"), ("q2", "the AB code IT"), ("q3", "plain words"),
