@@ -506,6 +506,27 @@ def test_boilerplate_families_are_not_compared(spark):
     assert [t.count() for t in near_texts.candidates(firsts)] == [0, 0]
 
 
+def test_near_groups_go_through_fingerprints(spark, monkeypatch):
+    """Long copies that differ in a word are found by SimHash alone, and only pairs that are similar enough are linked."""
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(words[::-1]), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [near_texts.shingle_set(x.encode(), 5) for x in texts]
+    fps = np.array([near_texts.fingerprint_of(s) for s in sets]).view(np.uint64)
+    assert np.bitwise_count(fps[0] ^ fps[1]) <= near_texts.RADIUS < np.bitwise_count(fps[0] ^ fps[2])
+    marked = near_texts._sets(df.select("doc_id", F.lit(0).cast("bigint").alias("tie"), F.col("text").cast("binary")), lambda s: s[:0], 5, fingerprint=True)
+    nodes = [near_texts.node_of(s) for s in sets]
+    assert [(r.u, r.v) for r in near_texts.fingerprint_pairs(marked).collect()] == [tuple(sorted(nodes[:2]))]
+    monkeypatch.setattr(near_texts, "first_elements", lambda s, *_: s[:0])  # nothing left to prefix filtering
+    groups = {r.doc_id: r.group for r in near_texts.near_groups(df).collect()}
+    assert groups[0] == groups[1] != groups[2] and groups[3] is None
+    unlike = spark.createDataFrame([(nodes[0], 1), (nodes[2], 1)], "node bigint, fp bigint")  # equal fingerprints, other texts
+    monkeypatch.setattr(near_texts, "fingerprint_pairs", lambda firsts: unlike.select(F.lit(min(nodes[0], nodes[2])).alias("u"), F.lit(max(nodes[0], nodes[2])).alias("v")).limit(1))
+    monkeypatch.setattr(near_texts, "delete_table", lambda table: None)
+    groups = {r.doc_id: r.group for r in near_texts.near_groups(df).collect()}
+    assert len(set(groups.values())) == 4
+
+
 def test_near_dedup_stage_finds_similarity_of_four_fifths(spark, near_rows):
     """Most of these copies differ in more than three bits of their fingerprints."""
     rows = [(k, x, "en", "s", 1) for k, x in enumerate(near_rows) if shingles(x)]
