@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seamark.functions.ids import segment_id
 from seamark.functions.vectors import cosine_distance, normalized, vector_error
-from seamark.functions.text import query_input
+from seamark.functions.text import pieces, query_input
 from seamark.profiles import Profile
 from seamark.session import cut_lineage, dealt
 
@@ -51,7 +51,7 @@ def embed(df: DataFrame, make_embedder: Callable[[], Embedder], text: str = "inp
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for rows in batches:
+        for rows in (part for whole in batches for part in pieces(whole, text)):
             model = model or make_embedder()
             texts = [t or "" for t in rows.column(text).to_pylist()]
             vectors, tokens = [], []

@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 
 
 from seamark.operators.blocks import asof_section, block_offsets, flatten_blocks, prepare_blocks, section_paths
-from seamark.operators.chunking import (chunk_fixed, chunk_structure, markdown_units, pack_units, sentence_units,
+from seamark.operators.chunking import (chunk_fixed, chunk_structure, fixed_passages, markdown_units, pack_units, sentence_units,
                                         structure_passages, window_spans)
 from seamark.profiles import TextPreparation
 
@@ -157,3 +157,19 @@ def test_asof_section_against_a_scan(spark, hot):
         before = [t for hd, o, t in headings if hd == d and o <= start]
         assert got[(d, i)] == (before[-1] if before else None)
 
+
+def test_kernels_hold_a_bounded_piece_of_a_batch(spark):
+    """Chunking and embedding work through a batch in pieces of text, and lose or change no row by it."""
+    import pyarrow as pa
+    from seamark.functions import text as texts
+    from seamark.operators.embedding import HashEmbedder, embed
+    values = ["a" * n for n in (0, 700, 700, 5000, 1, 0)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(values)], names=["id", "text"])
+    cut = list(texts.pieces(batch, "text", 1000))
+    assert [i for p in cut for i in p.column(0).to_pylist()] == list(range(7)) and len(cut) >= 3
+    assert max(sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) for p in cut) <= 1400
+    assert list(texts.pieces(batch.slice(0, 0), "text")) == []
+    df = spark.createDataFrame([(i, "word " * 200) for i in range(60)], "id int, input string").coalesce(1)
+    assert embed(df, HashEmbedder).where("token_count = 200").count() == 60
+    got = sorted((r.id, r.start, r.end) for r in chunk_fixed(df, "input", 300, 0).select("id", "start", "end").collect())
+    assert got == sorted((i, p.start, p.end) for i in range(60) for p in fixed_passages("word " * 200, TextPreparation("fixed", 300, 0)))
