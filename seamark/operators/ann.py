@@ -31,6 +31,7 @@ MAX_LIST_VALUES = 4_000_000  # lists x dims whose centroids and cutting planes m
 MIN_LIST = 64                 # vectors below which a list is not split
 MAX_LEVELS = 64
 FOLDERS = 256                 # of a stored index; a search opens those of the lists it probes
+HELD_HITS = 200_000           # hits of several lists that a task holds before it keeps the best
 SLACK = 2e-9                  # distances are rounded at 12 digits, bounds at 9, and then give way by this much
 
 
@@ -242,13 +243,16 @@ def _scan(rows: DataFrame, index: ListIndex, ids: np.ndarray, grid: np.ndarray,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            number, parts = batch.column("list").to_numpy(), [best]
+            number, parts, held = batch.column("list").to_numpy(), [best], 0
             vectors, segment_ids = matrix(batch.column("embedding")), _objects(batch.column("segment_id"))
             for value in np.unique(number).tolist():
                 qs = asking.get(value)
                 if qs is not None:
                     inside = np.flatnonzero(number == value)
                     parts.append(best_of(query_rows[qs], query_ids[qs], vectors[inside], segment_ids[inside], k))
+                    held += len(parts[-1])
+                    if held > HELD_HITS:
+                        parts, held = [keep_best(pd.concat([p for p in parts if p is not None], ignore_index=True), k)], 0
             parts = [p for p in parts if p is not None]
             best = keep_best(pd.concat(parts, ignore_index=True), k) if parts else None
         if best is not None:

@@ -210,6 +210,15 @@ def test_term_index_grows_by_versions(spark):
     assert "Exchange" not in plan and "Bucketed: true" in plan
 
 
+def test_lists_keep_the_best_while_they_are_read(spark, monkeypatch):
+    """A task that may hold few hits at a time gives the same answers."""
+    from seamark.operators import ann
+    monkeypatch.setattr(ann, "HELD_HITS", 1)
+    segments, asked = frame(spark, [f"s{i:03d}" for i in range(600)], nested(600), "segment_id"), frame(spark, ["q1", "q2"], vectors(2, 5), "query_id")
+    pick = lambda rows: sorted((r.query_id, r["rank"], r.segment_id) for r in rows.collect())
+    assert pick(search_lists(asked, build_index(segments, size=64), 7)) == pick(search_exact(asked, segments, 7))
+
+
 def test_tasks_that_write_the_index_grow_with_the_text(spark, monkeypatch):
     """A bucket is written by as many tasks as its text takes, and large tables get more buckets."""
     monkeypatch.setattr(term_index, "TASK_BYTES", 2000)
