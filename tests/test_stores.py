@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from seamark.operators.stores import (merge_report, merge_stores, resolve_all, s
 from seamark.operators.store_changes import applied, candidates_of, member_changes, propagate
 from seamark.operators.stores import members_direct
 from seamark.schemas import STORE_DEFINITION
+from seamark.sources.export import export_segments
 
 STORES = ("store_id string, name string, kind string, definition " + STORE_DEFINITION.simpleString()
           + ", deleted_at string, active_revision_id string")
@@ -193,3 +195,27 @@ def test_changes_carried_through_views_equal_resolving_again(spark):
         assert counts(candidates) == counts(candidates_of(views, new.resolved()))
         old = new
     assert propagate(changes.limit(0), candidates, views)[0].isEmpty()
+
+
+def test_export_shuffles_text_once(spark, capsys):
+    """However many stores show a version: its text goes through one exchange, before it is repeated for each of them."""
+    members = spark.createDataFrame([("a", "f1", "v1"), ("b", "f1", "v1"), ("b", "f2", "v2")], "store_id string, file_id string, version_id string")
+    files = spark.createDataFrame([("f1", "a/1.txt", {"lang": "en"}), ("f2", "b/2.txt", {})], "file_id string, path string, metadata map<string,string>")
+    versions = spark.createDataFrame([("v1", 1, "1.txt", "text/plain", "h1"), ("v2", 3, "2.txt", "text/plain", "h2")],
+                                     "version_id string, version_no int, filename string, media_type string, sha256 string")
+    segments = spark.createDataFrame([("v1", "s1", "p1", 0, "text", 1, None, "one", [1.0]), ("v2", "s2", "p1", 0, "text", 1, None, "two", [2.0])],
+                                     "version_id string, segment_id string, profile_id string, ordinal int, modality string, token_count int, "
+                                     "location struct<page:int>, content string, embedding array<float>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = export_segments(members, segments, files, versions)
+        capsys.readouterr()
+        rows.explain("formatted")
+        nodes = capsys.readouterr().out.split("\n\n")
+        got = sorted((r.store_id, r.segment_id, r.content, r.source.path, r.source.version_no, r.source.sha256) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = [n for n in nodes if re.search(r"\) Exchange\n", n)]
+    assert len(exchanges) > 2 and sum("content#" in n for n in exchanges) == 1
+    assert got == [("a", "s1", "one", "a/1.txt", 1, "h1"), ("b", "s1", "one", "a/1.txt", 1, "h1"), ("b", "s2", "two", "b/2.txt", 3, "h2")]
