@@ -65,7 +65,7 @@ def embed(df: DataFrame, make_embedder: Callable[[], Embedder], text: str = "inp
             yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(tokens, pa.int32())],
                                              names=[*rows.schema.names, "embedding", "token_count"])
 
-    return dealt(df).mapInArrow(kernel, f"{fields}, embedding array<float>, token_count int")
+    return dealt(df, text).mapInArrow(kernel, f"{fields}, embedding array<float>, token_count int")
 
 
 def embed_queries(queries: DataFrame, profile: Profile, make_embedder: Callable[[], Embedder], batch: int = BATCH) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 
 from seamark.operators.blocks import asof_section, block_offsets, flatten_blocks, prepare_blocks, section_paths
@@ -173,3 +174,15 @@ def test_kernels_hold_a_bounded_piece_of_a_batch(spark):
     assert embed(df, HashEmbedder).where("token_count = 200").count() == 60
     got = sorted((r.id, r.start, r.end) for r in chunk_fixed(df, "input", 300, 0).select("id", "start", "end").collect())
     assert got == sorted((i, p.start, p.end) for i in range(60) for p in fixed_passages("word " * 200, TextPreparation("fixed", 300, 0)))
+
+
+def test_a_table_of_few_files_is_dealt_by_its_size(spark, tmp_path, monkeypatch):
+    """A task gets so many bytes of text, however large the table is: not a share of it by the number of cores."""
+    from seamark import session
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(200).select("id", F.lpad(F.col("id").cast("string"), 100, "ab ").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/one")
+    df = spark.read.parquet(f"{tmp_path}/one")
+    assert chunk_fixed(df).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(session, "DEALT_BYTES", 500)
+    many = chunk_fixed(df)
+    assert many.rdd.getNumPartitions() == 40 > cores and many.count() == 200
