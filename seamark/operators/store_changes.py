@@ -63,7 +63,7 @@ def propagate(changes: DataFrame, candidates: DataFrame, views: DataFrame) -> tu
         level = views.where(F.col("definition.depth") == depth)
         incoming = cut_lineage(_summed(_shown(every, level)))
         touched = bounded(incoming.select("store_id", "file_id").distinct(), MAX_TOUCHED)
-        old = candidates.join(touched, ["store_id", "file_id"], "left_semi").select(*KEY, *FACTS, "n")
+        old = cut_lineage(candidates.join(touched, ["store_id", "file_id"], "left_semi").select(*KEY, *FACTS, "n"))
         new = _summed(old.unionByName(incoming)).where("n > 0")
         turned = _newest(new).withColumn("n", F.lit(1).cast("bigint")).unionByName(_newest(old).withColumn("n", F.lit(-1).cast("bigint")))
         every = cut_lineage(every.unionByName(_summed(turned.select(*KEY, *FACTS, "n"))))

@@ -9,12 +9,13 @@ from seamark.operators.filters import Filter, live, matches, restrict, scoped
 from seamark.operators.statistics import (deletion_preview, file_status, finalize_jobs, gauges, job_counts,
                                           profile_aliases, store_activity, store_stats, store_summary)
 from seamark.operators.stores import (dependents, derivation_check, file_references, merge_compatible, merge_rebuild,
-                                      merge_report, merge_stores, newest_version, remove_members, shared_sources, snapshot,
+                                      merge_report, merge_stores, newest_version, remove_members, resolve_all, shared_sources, snapshot,
                                       split_by_field)
 from seamark.operators.store_changes import applied, candidates_of, member_changes, propagate
 from seamark.operators.stores import members_direct
 from seamark.plans.bindings import SQL_TABLES, ntz
 from seamark.plans.registry import query
+from seamark.session import cut_lineage
 
 SOURCES = ["src3", "snap", "v_good", "src2"]
 _ORD = "CASE store_id WHEN 'src3' THEN 0 WHEN 'snap' THEN 1 WHEN 'v_good' THEN 2 WHEN 'src2' THEN 3 END"
@@ -267,9 +268,13 @@ def members_delta(t):
         F.lit("src1").alias("store_id"), "file_id", F.lit(None).cast("string").alias("pinned_version_id"))
     held = t.store_files.where(~((F.col("store_id") == "snap") & F.col("file_id").endswith("8"))).unionByName(added)
     views = t.stores.where(F.col("deleted_at").isNull() & (F.col("kind") == "view"))
-    changes = member_changes(t.direct, members_direct(t.stores, held, files, t.versions))
-    delta, _ = propagate(changes, candidates_of(views, t.members), views)
-    return applied(t.members, delta).select("store_id", "file_id", "version_id", "path")
+    # stored as the jobs that keep them would find them: no level of views reads the texts or resolves the stores again
+    versions = cut_lineage(t.versions.select("version_id", "file_id", "version_no", "media_type", "sha256"))
+    members = resolve_all(t.stores, t.store_files, t.files, versions, checkpoint=True)
+    candidates = cut_lineage(candidates_of(views, members))
+    changes = member_changes(members_direct(t.stores, t.store_files, t.files, versions), members_direct(t.stores, held, files, versions))
+    delta, _ = propagate(changes, candidates, views)
+    return applied(members, delta).select("store_id", "file_id", "version_id", "path")
 
 
 @query("store_activity", """

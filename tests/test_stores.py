@@ -219,3 +219,19 @@ def test_export_shuffles_text_once(spark, capsys):
     exchanges = [n for n in nodes if re.search(r"\) Exchange\n", n)]
     assert len(exchanges) > 2 and sum("content#" in n for n in exchanges) == 1
     assert got == [("a", "s1", "one", "a/1.txt", 1, "h1"), ("b", "s1", "one", "a/1.txt", 1, "h1"), ("b", "s2", "two", "b/2.txt", 3, "h2")]
+
+
+def test_members_delta_reads_versions_once(spark):
+    """However many levels of views a change goes through, the versions (whose hashes take the whole text) are worked out once."""
+    from seamark.plans.bindings import Tables
+    from seamark.plans.stores import members_delta
+    t, seen = Tables(spark, "/root/testdata/sf0.001"), spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(n):
+        seen.add(1)
+        return n
+
+    n = t.versions.count()
+    t.__dict__["versions"] = t.versions.withColumn("version_no", counted("version_no"))
+    assert members_delta(t).count() > 0 and n <= seen.value <= 2 * n
