@@ -52,8 +52,15 @@ def decode_vector(values: pd.Series) -> pd.Series:
     return values.map(lambda s: np.frombuffer(base64.b64decode(s), dtype="<f4"), na_action="ignore")
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Arrow list<float> column to a float64 matrix of unit rows (no Python object per row); all rows must be as long."""
+def unit_rows(grid: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row of zeros stays."""
+    lengths = np.linalg.norm(grid, axis=1, keepdims=True)
+    return grid / np.where(lengths == 0, 1.0, lengths)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, unit: bool = True) -> np.ndarray:
+    """Arrow list<float> column to a float64 matrix, of unit rows unless told otherwise (no Python object per row); all rows
+    must be as long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
@@ -64,5 +71,4 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         raise ValueError(f"DIMENSION_MISMATCH: vectors of {sizes.min()} to {sizes.max()} values, {column.null_count} missing")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     grid = flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
-    lengths = np.linalg.norm(grid, axis=1, keepdims=True) if rows else np.ones((0, 1))
-    return grid / np.where(lengths == 0, 1.0, lengths)
+    return unit_rows(grid) if unit and rows else grid

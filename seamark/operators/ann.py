@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamark.functions.vectors import matrix
+from seamark.functions.vectors import matrix, unit_rows
 from seamark.operators.vector_search import SHIPPED_QUERIES, SHIPPED_VALUES, _objects, _result_batch, _types, best_of, final_rank, keep_best
 from seamark.session import checkpoint_root, cut_lineage
 
@@ -244,7 +244,7 @@ def _scan(rows: DataFrame, index: ListIndex, ids: np.ndarray, grid: np.ndarray,
             if not batch.num_rows:
                 continue
             number, parts, held = batch.column("list").to_numpy(), [best], 0
-            vectors, segment_ids = matrix(batch.column("embedding")), _objects(batch.column("segment_id"))
+            vectors, segment_ids = matrix(batch.column("embedding"), unit=False), _objects(batch.column("segment_id"))
             for value in np.unique(number).tolist():
                 qs = asking.get(value)
                 if qs is not None:
@@ -303,12 +303,11 @@ def _answer(block: list, queries: DataFrame, index: ListIndex, rows: DataFrame,
         return _no_hits(queries, index)
     ids = np.array([r["query_id"] for r in block], dtype=object)
     grid = np.array([r["embedding"] for r in block], dtype=np.float64)
-    grid = grid / np.where((length := np.linalg.norm(grid, axis=1, keepdims=True)) == 0, 1, length)
     able = np.flatnonzero(members)
     if not len(able):
         return _no_hits(queries, index)
     # a vector within cosine distance d of a unit vector lies within sqrt(2 d) of it
-    apart = np.sqrt(np.maximum(0, 1 + (index.centroids[able] ** 2).sum(1) - 2 * grid @ index.centroids[able].T))
+    apart = np.sqrt(np.maximum(0, 1 + (index.centroids[able] ** 2).sum(1) - 2 * unit_rows(grid) @ index.centroids[able].T))
     bounds = np.round(np.maximum(0, apart - index.radii[able]) ** 2 / 2, 9) - SLACK
     order = np.lexsort((apart, bounds))  # where balls overlap, the nearer centroid first
     bounds = np.take_along_axis(bounds, order, 1)

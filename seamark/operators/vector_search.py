@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from seamark.functions.vectors import DISTANCE_DIGITS, matrix
+from seamark.functions.vectors import DISTANCE_DIGITS, matrix, unit_rows
 from seamark.operators.filters import Filter, matches
 from seamark.session import bounded
 
@@ -23,24 +23,42 @@ SHIPPED_QUERIES, SHIPPED_VALUES = 4096, 4_000_000  # queries, and queries x dims
 CELL_QUERIES, CELL_SEGMENTS = 2048, 16384  # largest cell of the grid
 MAX_MEMBERS = 1_000_000  # versions of a store that may be broadcast
 QUERY_BLOCK = 256  # rows of one matrix product
+PRODUCT_SLACK = 1e-9  # more than a matrix product of unit rows and the distance of a pair can differ by
+
+
+def pair_distances(queries: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Cosine distance of the pairs (row, col), summed component by component, so it depends on the two vectors alone. A matrix
+    product adds in an order that follows the shape of its block: copies of one vector may differ there in the last digit."""
+    product, left, right = np.zeros(len(row)), np.zeros(len(queries)), np.zeros(len(vectors))
+    for q, v in zip(queries.T, vectors.T):
+        product += q[row] * v[col]
+        left += q * q
+        right += v * v
+    lengths = np.sqrt(left[row] * right[col])
+    distance = 1.0 - np.clip(product / np.where(lengths == 0, 1.0, lengths), -1.0, 1.0)
+    return np.floor(distance * 10.0 ** DISTANCE_DIGITS + 0.5) / 10.0 ** DISTANCE_DIGITS
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int,
             groups: np.ndarray | None = None) -> pd.DataFrame:
-    """The k nearest rows per query (and group) of one block, ties by id."""
+    """The k nearest rows per query (and group) of one block, ties by id. A matrix product names the candidates, with some
+    room for its rounding; their distances are then taken pair by pair."""
     parts = []
     labels = groups if groups is not None else np.zeros(len(ids), dtype=np.int8)
     for label in pd.unique(pd.Series(labels)):
         inside = np.flatnonzero(labels == label) if groups is not None else np.arange(len(ids))
+        chosen = vectors[inside]
+        near = unit_rows(chosen).T
         for at in range(0, len(query_ids), QUERY_BLOCK):
-            distance = np.round(1.0 - queries[at:at + QUERY_BLOCK] @ vectors[inside].T, DISTANCE_DIGITS)
+            asked = queries[at:at + QUERY_BLOCK]
+            distance = 1.0 - unit_rows(asked) @ near
             if distance.shape[1] > k:  # keep all ties of the k-th distance, the id decides below
                 bound = np.partition(distance, k - 1, axis=1)[:, k - 1:k]
-                row, col = np.nonzero(distance <= bound)
+                row, col = np.nonzero(distance <= bound + PRODUCT_SLACK)
             else:
                 row, col = np.nonzero(np.ones_like(distance, dtype=bool))
             parts.append(pd.DataFrame({"query_id": query_ids[at + row], "segment_id": ids[inside[col]],
-                                       "distance": distance[row, col], "grp": label}))
+                                       "distance": pair_distances(asked, chosen, row, col), "grp": label}))
     return keep_best(pd.concat(parts, ignore_index=True) if parts else None, k)
 
 
@@ -73,7 +91,6 @@ def _scan_topk(rows: list, queries: DataFrame, segments: DataFrame, k: int, grou
     ddl, arrow = _types(queries, segments)
     ids = np.array([r["query_id"] for r in rows], dtype=object)
     grid = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    grid = grid / np.where((n := np.linalg.norm(grid, axis=1, keepdims=True)) == 0, 1, n)
     shipped = segments.sparkSession.sparkContext.broadcast((ids, grid))
     columns = ["segment_id", "embedding"] + ([group] if group else [])
 
@@ -83,7 +100,7 @@ def _scan_topk(rows: list, queries: DataFrame, segments: DataFrame, k: int, grou
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = best_of(query_rows, query_ids, matrix(batch.column("embedding")),
+            found = best_of(query_rows, query_ids, matrix(batch.column("embedding"), unit=False),
                             _objects(batch.column("segment_id")), k,
                             _objects(batch.column(group)) if group else None)
             best = keep_best(found if best is None else pd.concat([best, found], ignore_index=True), k)
@@ -130,8 +147,8 @@ def grid_topk(queries: DataFrame, segments: DataFrame, k: int, cell: Sequence[st
         if not asked.num_rows or not stored.num_rows:
             return pa.Table.from_batches([], schema=arrow)
         labels = _objects(stored.column(group)) if group else None
-        found = best_of(matrix(asked.column("embedding")), _objects(asked.column("query_id")),
-                        matrix(stored.column("embedding")), _objects(stored.column("segment_id")), k, labels)
+        found = best_of(matrix(asked.column("embedding"), unit=False), _objects(asked.column("query_id")),
+                        matrix(stored.column("embedding"), unit=False), _objects(stored.column("segment_id")), k, labels)
         if not group:
             found = found.assign(grp="")
         return pa.Table.from_batches([_result_batch(found, arrow)])

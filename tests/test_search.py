@@ -156,6 +156,19 @@ def test_index_of_nothing(spark, corpus):
     assert len(index.sizes) == 1 and search_lists(frame(spark, ["q"], vectors(1), "query_id"), index, 3).count() == 0
 
 
+@pytest.mark.parametrize("shipped, parts", [(4096, 1), (4096, 24), (0, 1)])
+def test_distances_do_not_follow_the_block(spark, shipped, parts):
+    """A pair has the distance the SQL gives it, to the last digit, whatever block of the table it is worked out in."""
+    from compare import connect
+    want = connect("/root/testdata/sf0.1").execute("""SELECT q.vec_id, s.vec_id, round(list_cosine_distance(q.embedding::DOUBLE[],
+      s.embedding::DOUBLE[]), 12) FROM embeddings q, embeddings s WHERE q.vec_id % 10 = 0""").fetchall()
+    read = lambda key: spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumnRenamed("vec_id", key)
+    stored, asked = read("segment_id").repartition(parts), read("query_id").where("query_id % 10 = 0")
+    found = search_exact(asked, stored, 2000, max_shipped=shipped).select("query_id", "segment_id", "distance").collect()
+    different = set(map(tuple, found)) ^ set(want)
+    assert len(found) == len(want) == 400_000 and not different
+
+
 def test_filter_comes_before_ranking(spark):
     ids = [f"s{i:03d}" for i in range(320)]
     segments = frame(spark, ids, vectors(320, 6), "segment_id", version_id=[f"v{i}" for i in range(320)],
