@@ -132,12 +132,12 @@ def postings(t):
 
 @query("selective_terms", f"WITH {KEYWORD_SQL} SELECT query_id, token, passages FROM selective")
 def selective_terms_query(t):
-    return selective_terms(t.word_queries, t.p1, t.postings).select("query_id", "token", "passages")
+    return selective_terms(t.word_queries, t.passages, t.postings).select("query_id", "token", "passages")
 
 
 @query("keyword_rank", f"WITH {KEYWORD_SQL} SELECT query_id, segment_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kw")
 def keyword_rank_query(t):
-    return search_keyword(t.word_queries, t.p1, t.postings, 40).withColumn("score", F.round("score", 6))
+    return search_keyword(t.word_queries, t.passages, t.postings, 40).withColumn("score", F.round("score", 6))
 
 
 _HYBRID = f"{topk_sql('p1', 40)}, {HYBRID_KEYWORD_SQL}, {fused_sql(10)}"

@@ -246,6 +246,23 @@ def test_tasks_that_write_the_index_grow_with_the_text(spark, monkeypatch):
     assert [term_index.buckets_for(n) for n in (0, 10 ** 8, 6 * 10 ** 9)] == [8, 8, 256]
 
 
+def test_texts_are_indexed_where_they_are_read(spark, monkeypatch):
+    """Vectors too large to be broadcast do not bring the texts into a shuffle on their way to the index."""
+    from seamark.plans.bindings import Tables
+    given, tables = [], Tables(spark, "/root/testdata/sf0.01")
+    monkeypatch.setattr(term_index.TermIndex, "add", lambda self, segments, size=None: given.append(segments.select("segment_id", "content")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert tables.postings.count() == 0
+        plan = given[0]._jdf.queryExecution().executedPlan().toString()
+        want = tables.p1.select("segment_id", "content")
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert given[0].exceptAll(want).isEmpty() and want.exceptAll(given[0]).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_selective_terms_and_proximity(spark):
     segments = passages(spark)
     asked = spark.createDataFrame([("q1", "Which oil for PS-400?"), ("q2", "the AB code IT"), ("q3", "plain words"),
