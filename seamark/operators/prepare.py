@@ -50,7 +50,8 @@ def _named(df: DataFrame, key: str) -> DataFrame:
 
 def prepare(files: DataFrame, profile: Profile, pages: DataFrame | None = None, blocks: DataFrame | None = None,
             media: DataFrame | None = None, transcript: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(segments, outcomes) of ``files(version_id, media_type, content)``.
+    """(segments, outcomes) of ``files(version_id, media_type, content)``; outcomes (version_id, media_type, error_code,
+    retryable) are the files without a segment.
 
     Decoded parts come as tables keyed by version_id: ``pages(doc_id, page, text, ocr_text)``, ``blocks(doc_id, seq,
     kind, level, text, cells)``, ``media(media_id, duration, audio_seconds)``, ``transcript(media_id, line_no, start,
@@ -90,13 +91,13 @@ def prepare(files: DataFrame, profile: Profile, pages: DataFrame | None = None,
     for part in parts[1:]:
         segments = segments.unionByName(_shaped(part))
 
-    failed_text = decoded.where("error_code is not null").select("version_id", "error_code")
+    failed_text = decoded.where("error_code is not null").select("version_id", "media_type", "error_code")
     unknown = head.where(~F.col("media_type").isin(KNOWN_TYPES) | F.col("media_type").isNull()).select(
-        "version_id", F.lit("FORMAT_UNSUPPORTED").alias("error_code"))
+        "version_id", "media_type", F.lit("FORMAT_UNSUPPORTED").alias("error_code"))
     silent = (head.where(F.col("media_type").isin(TEXT_TYPES + PAGE_TYPES + BLOCK_TYPES + AUDIO_TYPES + VIDEO_TYPES))
               .join(segments.select("version_id"), "version_id", "left_anti")
               .join(failed_text.select("version_id"), "version_id", "left_anti")
-              .select("version_id", F.lit("EMPTY_CONTENT").alias("error_code")))
+              .select("version_id", "media_type", F.lit("EMPTY_CONTENT").alias("error_code")))
     outcomes = failed_text.unionByName(unknown).unionByName(silent).withColumn("retryable", F.lit(False))
     return segments, outcomes
 

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from seamark.operators.media import group_transcript, soundtrack_windows, time_windows
 from seamark.operators.pages import assemble_ocr, prepare_pages
@@ -93,3 +94,16 @@ def test_prepare_routes_and_reports(spark):
     assert order["v"] == [("video", None), ("video", None), ("audio", "soundtrack"), ("text", "transcript")]
     assert order["pdf"] == [("image", None), ("text", "ocr")]
     assert [r.content for r in rows if r.version_id == "t"] == ["Hello there.\nGeneral."]
+
+
+def test_prepare_outcomes_agree_with_sql_where_texts_are_blank(spark, tmp_path):
+    import shutil
+    import duckdb
+    from compare import connect, difference
+    from seamark.plans.catalog import ORACLES, QUERIES
+    for source in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        shutil.copyfile(source, tmp_path / source.name)
+    odd = "(100000, '', 'en', 'src1', 0), (100005, ' ', 'en', 'src2', 1), (100001, NULL, 'de', 'src3', 20), (100002, '# title', 'de', 'src3', 15), " \
+          "(100003, 'x', 'en', 'src1', 6), (100003, 'x', 'en', 'src1', 6)"  # texts without passages, and a repeated row
+    duckdb.sql(f"COPY (FROM '/root/testdata/sf0.001/documents.parquet' UNION ALL FROM (VALUES {odd}) t) TO '{tmp_path}/documents.parquet'")
+    assert difference(spark, connect(str(tmp_path)), "prepare_outcomes", str(tmp_path), QUERIES, ORACLES) is None
