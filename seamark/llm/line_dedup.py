@@ -5,7 +5,8 @@ longer one, shifted by few places (Li et al., Pass-Join, 2011). Every line offer
 line looks up, for its own and the next shorter lengths, just the substrings at the places that can matter. Lines that
 meet are compared by Spark's banded edit distance, which stops at the threshold.
 
-First the keys alone are counted, without text, and only keys that two different lines share go on. A key's lines are
+First the keys alone are counted, without text, and only keys that two different lines share go on; while these are few they
+are broadcast, and beyond that still no text is shuffled but that of lines which have one. A key's lines are
 dealt into chunks of bounded size; a looking line meets a chunk as one row with its lines in an array and yields one
 answer, so no pairs are emitted, however many lines share a segment.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seamark.llm.common import broadcast_below, document_key, shared_table
+from seamark.llm.common import document_key, matching, shared_table
 
 EDITS = 2
 EXACT_FROM, NEAR_FROM = 20, 40   # characters from which a line is compared at all, and for near copies
@@ -63,7 +64,12 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     keys = segment_keys(F.col("line"), F.col("n"), edits)
     spread = long.select("id", F.inline(keys))
     shared = shared_table(spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "segments")
-    met = long.select("id", "line", F.inline(keys)).join(broadcast_below(shared, SMALL), "key")
+    if shared.limit(SMALL + 1).count() <= SMALL:
+        met = long.select("id", "line", F.inline(keys)).join(F.broadcast(shared), "key")
+    else:  # keys meet without text, and only the lines that have a shared one are shuffled, once
+        shares = shared_table(matching(spread, shared, "key", SMALL).distinct(), "shares")
+        wanted = shared_table(shares.select("id").distinct(), "wanted-lines")
+        met = shares.join(matching(long.select("id", "line"), wanted, "id", SMALL).distinct(), "id")
     held = shared_table(met.select("key", "stored", "id", "line").distinct(), "candidates")
     counts = held.groupBy("key").agg(F.sum(F.col("stored").cast("int")).alias("n"), F.count("*").alias("m")).where("n > 0 and m > 1").select(
         "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seamark.llm import decontamination, licenses, line_dedup, mpeg, near_texts, packing, sharding, simhash, token_store, toxicity, url_rules
+from seamark.llm import common, decontamination, licenses, line_dedup, mpeg, near_texts, packing, sharding, simhash, token_store, toxicity, url_rules
 from seamark.llm.common import shared_table
 from seamark.llm.components import components
 from seamark.llm.queries import vocabulary
@@ -306,6 +306,32 @@ def test_near_lines_against_all_pairs(spark, monkeypatch):
     assert got == want and want
 
 
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_many_shared_segments_shuffle_no_text(spark, monkeypatch):
+    lines = [sentence(k, 300) for k in range(300)]
+    lines += [x[:-1] + "!" for x in lines[:20]] + [x[:-40] + sentence(k, 8) for k, x in enumerate(lines[20:60])]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").repartition(4).cache()
+    want = {tuple(r) for r in line_dedup.near_lines(df).collect()}
+    monkeypatch.setattr(line_dedup, "SMALL", 10)
+    for words in (1 << 20, 2):  # few and nearly all bits set
+        monkeypatch.setattr(common, "SIEVE_WORDS", words)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            start = shuffled(spark)
+            assert {tuple(r) for r in line_dedup.near_lines(df).collect()} == want and want
+            taken = shuffled(spark) - start
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert words == 2 or taken < 2.5 * sum(map(len, lines)), taken  # every line under each of its twelve keys is more
+    df.unpersist()
+
+
 def test_line_dedup(spark, docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert set(got.columns) == {*docs.columns, "n_lines", "n_exact", "n_near"}
