@@ -332,6 +332,25 @@ def test_many_shared_segments_shuffle_no_text(spark, monkeypatch):
     df.unpersist()
 
 
+def test_many_shared_shingles_shuffle_only_what_meets(spark, monkeypatch):
+    texts = [sentence(k, 400) for k in range(400)]
+    texts += [x + " more" for x in texts[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4).cache()
+    monkeypatch.setattr(near_texts, "SMALL", 10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = shuffled(spark)
+        rows = near_texts.near_groups(df).collect()
+        taken = shuffled(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        df.unpersist()
+    group = {r.doc_id: r.group for r in rows}
+    assert len(rows) == len(texts) and len(set(group.values())) == 400 and all(group[k] == group[400 + k] for k in range(30))
+    assert taken < 5 * 16 * 80 * len(texts), taken  # with all first elements and whole sets shuffled again it is six and a half times that
+
+
 def test_line_dedup(spark, docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert set(got.columns) == {*docs.columns, "n_lines", "n_exact", "n_near"}
