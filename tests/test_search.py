@@ -276,6 +276,34 @@ def test_selective_terms_and_proximity(spark):
     assert {r.query_id for r in rows} == {"q1", "q4"}
 
 
+def test_many_proposed_passages_are_not_shuffled(spark, monkeypatch):
+    from seamark.operators import keyword
+    names = [f"K{j}" for j in range(60)]
+    texts = [(f"s{i:04}", " ".join(("x " * (i * j % 5) + n) for j, n in enumerate(names) if j % 10 == i % 10) + " 10.7.K1") for i in range(1000)]
+    segments = spark.createDataFrame(texts, "segment_id string, content string")
+    asked = spark.createDataFrame([(f"q{a}-{b}", f"{names[a]} {names[b]} 10.{a}.K1") for a in range(60) for b in range(a)], "query_id string, text string")
+    index = indexed(spark, segments).postings()
+
+    def ranked(most: int) -> tuple[set, int]:
+        monkeypatch.setattr(keyword, "MAX_PROPOSED", most, raising=False)
+        status = spark.sparkContext._jsc.sc()
+        status.listenerBus().waitUntilEmpty()
+        before = status.statusStore().executorList(True).apply(0).totalShuffleWrite()
+        rows = {tuple(r) for r in search_keyword(asked, segments, index, 10).collect()}
+        status.listenerBus().waitUntilEmpty()
+        return rows, status.statusStore().executorList(True).apply(0).totalShuffleWrite() - before
+
+    monkeypatch.setattr(keyword, "BLOCK_SETS", 700, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (by_index, shuffled), (by_text, less) = ranked(10**9), ranked(1000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert by_text == by_index and len({q for q, *_ in by_text}) == 204  # 150 pairs stand together, K1 is in every passage
+    assert less < shuffled / 2, (less, shuffled)
+
+
 def test_hybrid_fuses_by_rank(spark):
     segments = passages(spark)
     asked = frame(spark, ["q1"], vectors(1, 9), "query_id", text=["PS-400 oil"])
